@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -58,6 +61,27 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def runs_of(batches: Iterator[pd.DataFrame], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each run of equal ``key`` in batches sorted by it.
+
+    Far cheaper than a grouped map where most groups have a few rows. A run is
+    held in memory whole, so the plan must bound it.
+    """
+    held = None
+    for batch in batches:
+        if held is not None and len(held):
+            batch = pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        columns = {c: batch[c].to_numpy() for c in batch}
+        cuts = np.flatnonzero(columns[key][1:] != columns[key][:-1]) + 1
+        for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+            yield {c: v[lo:hi] for c, v in columns.items()}
+        held = batch.iloc[cuts[-1] if len(cuts) else 0 :]
+    if held is not None and len(held):
+        yield {c: held[c].to_numpy() for c in held}
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Components of an undirected graph by repeated contraction.
 
@@ -98,3 +122,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         later = out.select(F.col("node").alias("r"), "component")
         out = staged(to.join(later, "r", "left").select("node", F.coalesce("component", "r").alias("component")), "label")
     return out
+
+
+def linked_classes(everything: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """What links between classes say of each row.
+
+    ``everything``: id, key (null: links with nothing); ``classes``: key, rep
+    (smallest id), m (rows); ``found``: key, links (rows linked, of other
+    classes) and edges a, b between reps. Returns id, class_id, n_links, kept.
+    The join back to rows is on keys that copies share: a plain sort-merge join
+    that adaptive execution may split.
+    """
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    components = connected_components(found.select("a", "b"))
+    known = classes.select("key", "rep", "m").join(links, "key", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("key", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    linked = everything.where("key is not null").select("id", "key").join(known, "key").select("id", "class_id", "n_links")
+    bare = everything.where("key is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return linked.union(bare).withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
