@@ -25,15 +25,15 @@ def _partners(tokens: list[Token]) -> dict[int, int]:
     return out
 
 
-def _block(tokens: list[Token], pairs: dict[int, int], i: int, end: int) -> int | None:
-    """The next ``{`` from ``i`` that isn't inside brackets."""
+def _block(tokens: list[Token], pairs: dict[int, int], i: int, end: int, header: bool = False) -> int | None:
+    """The next ``{`` from ``i`` that isn't inside brackets; a ``;`` ends the search except in a ``header``."""
     while i < end:
         if tokens[i].kind == "op":
             if tokens[i].text == "{":
                 return i
             if tokens[i].text in "([":
                 i = pairs[i]
-            elif tokens[i].text in (";", "}"):
+            elif tokens[i].text == "}" or tokens[i].text == ";" and not header:
                 return None
         i += 1
     return None
@@ -54,11 +54,11 @@ def go_complexity(tokens: list[Token], pairs: dict[int, int], lo: int, hi: int)
         level = sum(kind != "select" for _, kind in closers)
         t = tokens[i]
         if t.kind == "name" and t.text in ("if", "for", "switch", "select"):
-            start = _block(tokens, pairs, i + 1, hi + 1)
+            start = _block(tokens, pairs, i + 1, hi + 1, True)
             end = pairs[start] if start is not None else i
             if t.text == "if":  # with all its else branches
                 while end + 2 <= hi and tokens[end + 1].text == "else":
-                    start = _block(tokens, pairs, end + 2, hi + 1)
+                    start = _block(tokens, pairs, end + 2, hi + 1, True)
                     if start is None:
                         break
                     end = pairs[start]
