@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import re
 
-from ..functions.scalars import glob_regex, language_of
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..functions.scalars import EXTENSIONS, glob_regex, language_of
 from ..operators.cicd import file_type
 
 #: Folders that no scan enters, names and sizes that the security scan takes.
@@ -17,24 +20,75 @@ CONFIG_EXTENSIONS = ("env", "toml", "yaml", "yml", "json", "cfg", "ini", "conf",
 MOST_BYTES = 10 * 1024 * 1024
 
 
-def tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """path (relative), length, content of every readable file under ``root``; content is read only if it is used.
-
-    Files that vanish or can't be read are left out.
+class TreeReader(DataSourceReader):
+    """A partition per entry of the root folder; a folder is walked where it is read."""
+
+    def __init__(self, options: dict[str, str]):
+        self.root = options["path"]
+        self.wanted = re.compile(options.get("wanted", ""))
+        self.most = int(options.get("most_bytes", 1 << 62))
+        self.whole = options.get("content", "true") == "true"
+
+    def open(self):
+        from pyarrow import fs
+
+        uri = self.root if "://" in self.root else "file://" + self.root.removeprefix("file:")
+        found, base = fs.FileSystem.from_uri(uri)
+        return fs, found, base.rstrip("/")
+
+    def partitions(self):
+        fs, store, base = self.open()
+        return [InputPartition(x.path) for x in sorted(store.get_file_info(fs.FileSelector(base)), key=lambda x: x.path)]
+
+    def read(self, partition):
+        fs, store, base = self.open()
+        todo = [store.get_file_info(partition.value)]
+        while todo:
+            x = todo.pop()
+            if x.type == fs.FileType.Directory:
+                if x.base_name not in SKIPPED_FOLDERS:
+                    todo += store.get_file_info(fs.FileSelector(x.path, allow_not_found=True))
+            elif x.type == fs.FileType.File:
+                path = x.path[len(base) + 1 :]
+                if x.size <= self.most and self.wanted.search(path):
+                    try:
+                        content = store.open_input_stream(x.path, compression=None).read() if self.whole else None
+                    except OSError:  # gone or unreadable
+                        continue
+                    yield path, x.size, content
+
+
+class TreeSource(DataSource):
+    """``source_tree``: files of a folder with names that Spark's own file sources
+    leave out (``.env``, ``__init__.py``). Options ``wanted`` (a pattern on the
+    relative path), ``most_bytes`` and ``content`` are judged before content is read.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    short = F.substring(F.col("path"), F.lit(len(full) + 1), F.length("path"))
-    if full.startswith("file:/") and not full.startswith("file:///"):
-        short = F.regexp_replace(F.col("path"), "^file:/+" + full[len("file:/"):].replace(".", r"\."), "")
-    return reader.load(root).select(short.alias("path"), "length", "content")
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return "path string, length bigint, content binary"
+
+    def reader(self, schema):
+        return TreeReader(dict(self.options))
+
+
+def tree(spark: SparkSession, root: str, wanted: str = "", most_bytes: int = 1 << 62) -> DataFrame:
+    """path (relative), length, content of the readable files under ``root``, skipped folders aside."""
+    spark.dataSource.register(TreeSource)
+    return spark.read.format("source_tree").option("wanted", wanted).option("most_bytes", most_bytes).load(root)
+
+
+_SOURCES = r"\.(" + "|".join(EXTENSIONS) + r")$"
+_SECURITY = _SOURCES + r"|\.(" + "|".join(CONFIG_EXTENSIONS) + r")$|(^|/)(" + "|".join(map(re.escape, MANIFESTS)) + r")$|(^|/)\.env[^/]*$"
+_CICD = r"(?i)\.ya?ml$|dockerfile|\.service$"
 
 
-def in_skipped_folder(path: Column) -> Column:
-    return F.exists(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), lambda x: x.isin(*SKIPPED_FOLDERS))
+def text(content: str = "content"):
+    """Bytes as text; what isn't UTF-8 is replaced."""
+    return F.make_valid_utf8(F.col(content).cast("string"))
 
 
 def not_ignored(files: DataFrame, patterns: list[str]) -> DataFrame:
@@ -45,23 +99,20 @@ def not_ignored(files: DataFrame, patterns: list[str]) -> DataFrame:
 
 
 def source_files(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
-    """path, content, language of files in known languages. Bytes that aren't UTF-8 are replaced."""
-    found = tree(spark, root).withColumn("language", language_of("path")).where("language is not null")
-    kept = not_ignored(found.where(~in_skipped_folder(F.col("path"))), list(ignore))
-    return kept.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "language")
+    """path, content, language of files in known languages."""
+    found = tree(spark, root, _SOURCES).withColumn("language", language_of("path")).where("language is not null")
+    return not_ignored(found, list(ignore)).select("path", text().alias("content"), "language")
 
 
 def security_files(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
     """Sources, manifests, configuration and environment files of 10 MiB at most, each path once."""
-    name = F.element_at(F.split("path", "/"), -1)
-    wanted = language_of("path").isNotNull() | name.isin(*MANIFESTS) | F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*CONFIG_EXTENSIONS) | name.startswith(".env")
-    found = tree(spark, root).where(wanted & (F.col("length") <= MOST_BYTES) & ~in_skipped_folder(F.col("path")))
-    return not_ignored(found, list(ignore)).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), language_of("path").alias("language")).dropDuplicates(["path"])
+    found = not_ignored(tree(spark, root, _SECURITY, MOST_BYTES), list(ignore))
+    return found.select("path", text().alias("content"), language_of("path").alias("language")).dropDuplicates(["path"])
 
 
 def cicd_files(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
     """CI/CD configuration; ignore patterns are parts of a path here."""
-    found = tree(spark, root).withColumn("kind", file_type("path")).where("kind is not null")
+    found = tree(spark, root, _CICD).withColumn("kind", file_type("path")).where("kind is not null")
     for p in ignore:
         found = found.where(~F.contains("path", F.lit(p)))
-    return found.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.lit(None).cast("string").alias("language"))
+    return found.select("path", text().alias("content"), F.lit(None).cast("string").alias("language"))

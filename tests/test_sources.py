@@ -11,9 +11,9 @@ from codeprism.sources import discovery as D, manifests as M
 def root(tmp_path):
     for path, text in {
         "a.go": b"package a", "sub/b.py": b"x = 1\xff\n", "node_modules/c.js": b"x", "d.txt": b"no", ".env": b"A=1", "requirements.txt": b"Flask==2.0.0\nrequests[x]==2.31.0 ; y\nz>=1\n", "Dockerfile": b"FROM x",
-        "gen/e.go": b"package e",
+        "gen/e.go": b"package e", "pkg/__init__.py": b"", ".github/workflows/a.yml": b"on: push",
     }.items():
-        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(text)
     return str(tmp_path)
 
@@ -24,9 +24,9 @@ def paths(df):
 
 def test_scans(spark, root):
     files = D.source_files(spark, root, ["gen"])
-    assert paths(files) == ["a.go", "sub/b.py"] and "\ufffd" in next(r.content for r in files.collect() if r.path == "sub/b.py")
-    assert paths(D.security_files(spark, root)) == [".env", "a.go", "gen/e.go", "requirements.txt", "sub/b.py"]
-    assert paths(D.cicd_files(spark, root)) == ["Dockerfile"] and paths(D.cicd_files(spark, root, ["ocker"])) == []
+    assert paths(files) == ["a.go", "pkg/__init__.py", "sub/b.py"] and "\ufffd" in next(r.content for r in files.collect() if r.path == "sub/b.py")
+    assert paths(D.security_files(spark, root)) == [".env", ".github/workflows/a.yml", "a.go", "gen/e.go", "pkg/__init__.py", "requirements.txt", "sub/b.py"]
+    assert paths(D.cicd_files(spark, root)) == [".github/workflows/a.yml", "Dockerfile"] and paths(D.cicd_files(spark, root, ["ocker"])) == [".github/workflows/a.yml"]
 
 
 def test_manifests(files):
