@@ -83,27 +83,30 @@ def runs_of(batches: Iterator[pd.DataFrame], key: str) -> Iterator[dict[str, np.
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Components of an undirected graph by repeated contraction.
+    """Components of an undirected graph by randomised contraction.
 
     ``edges`` holds two bigint columns ``a`` and ``b``; nulls and loops are
     ignored, repeats are harmless. Returns ``node, component`` (the smallest
     node reachable), a row per node that has an edge.
 
-    Each round every node takes the smallest node of its closed neighbourhood
-    (a map-side combined minimum, so hubs don't skew it), edges are renamed to
-    these representatives and what became a loop disappears. The graph shrinks
-    at least by half a round in expectation, so a few rounds do. The rename
-    joins are plain sort-merge joins that adaptive execution may split.
+    Each round every node takes the node of its closed neighbourhood that comes
+    first in an order that a hash draws anew (a map-side combined minimum, so
+    hubs don't skew it), edges are renamed to these nodes and what became a
+    loop disappears. A third of the nodes goes each round in expectation,
+    whatever the graph, so rounds grow with the logarithm of its size. The
+    rename joins are plain sort-merge joins that adaptive execution may split.
     """
     spark = edges.sparkSession
     live = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
     live = staged(live.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps: list[DataFrame] = []
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         if live.isEmpty():
             break
+        draw = lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("v"))
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("r")).select(F.col("a").alias("node"), "r"), "hook")
+        first = both.groupBy("a").agg(F.min(draw("b")).alias("f"))
+        to = staged(first.select(F.col("a").alias("node"), F.least("f", draw("a"))["v"].alias("r")), "hook")
         maps.append(to)
         renamed = (
             live.join(to.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a")
@@ -117,11 +120,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     if not maps:
         return spark.createDataFrame([], "node bigint, component bigint")
     # Fold from the last round back: what a node points to is renamed by all later rounds.
-    out = maps[-1].select("node", F.col("r").alias("component"))
+    out = maps[-1].select("node", F.col("r").alias("root"))
     for to in reversed(maps[:-1]):
-        later = out.select(F.col("node").alias("r"), "component")
-        out = staged(to.join(later, "r", "left").select("node", F.coalesce("component", "r").alias("component")), "label")
-    return out
+        later = out.select(F.col("node").alias("r"), "root")
+        out = staged(to.join(later, "r", "left").select("node", F.coalesce("root", "r").alias("root")), "label")
+    least = out.groupBy("root").agg(F.min("node").alias("component"))
+    return staged(out.join(least, "root").select("node", F.least("component", "root").alias("component")), "components")
 
 
 def linked_classes(everything: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
