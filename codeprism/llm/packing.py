@@ -24,7 +24,7 @@ WINDOW, OPEN = 1024, 64
 END = 0
 #: Leftover windows of so many partitions are merged by one task.
 FAN_IN = 64
-PIECE = "doc bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary, open boolean"
+PIECE = "doc string, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary, open boolean"
 
 
 def tokenizer(name: str):
@@ -130,9 +130,7 @@ def pack(df: DataFrame, vocabulary: str, text: str = "text", id: str = "doc_id",
         return [(doc, start, n, total, seq, at, ids.astype("<u4").tobytes(), is_open) for doc, start, n, total, seq, at, ids in rows]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "open"])
-        out["doc"] = pd.array([None if d is None else int(d) for d in out.doc], "Int64")
-        return out
+        return pd.DataFrame(rows, columns=["doc", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "open"])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -151,9 +149,10 @@ def pack(df: DataFrame, vocabulary: str, text: str = "text", id: str = "doc_id",
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         packer, out = Packer(window, 1, (1 << 62) + (int(key[0]) << 36)), []
         for r in rows.sort_values(["sequence_id", "offset"]).itertuples():
-            out += packer.put(None if pd.isna(r.doc) else r.doc, r.start, np.frombuffer(r.ids, "<u4"), r.doc_tokens)
+            out += packer.put(r.doc, r.start, np.frombuffer(r.ids, "<u4"), r.doc_tokens)
         return frame(code(out + power_pieces(packer.open_rows(), window, packer.next_id), False))
 
+    # ids travel as strings: nullable integers would reach pandas as floats
     source = df.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"))
     placed = source.mapInPandas(place, PIECE).withColumn("ids_crc32", F.crc32("ids"))
     if not keep_ids:
@@ -165,7 +164,7 @@ def pack(df: DataFrame, vocabulary: str, text: str = "text", id: str = "doc_id",
     if not keep_ids:
         left = left.withColumn("ids", F.lit(None).cast("binary"))
     out = placed.where("not open").unionByName(left)
-    return out.select(F.col("doc").alias("doc_id"), "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "ids_crc32")
+    return out.select(F.col("doc").cast("bigint").alias("doc_id"), "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "ids_crc32")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
