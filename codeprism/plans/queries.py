@@ -660,6 +660,55 @@ def window_session(spark, sf_dir):
     return s.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
+@query("""
+SELECT window_start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
+""")
+def stream_tumbling(spark, sf_dir):
+    """ST1, ST2: a stream's closed windows, read to its end and written in append mode."""
+    import tempfile
+    import uuid
+
+    from ..streaming.streams import windowed_counts
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codeprism-")
+    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1000)
+    # the source lists a folder; the one file of a table is a pattern of one
+    stream = windowed_counts(events.parquet(f"{sf_dir}/[e]vents.parquet"), "ts", ["event_type"], "1 day")
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+f(user_id, k, tainted, hits) AS (
+  SELECT user_id, k, event_type = 'click' AND value > 50, 0 FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.k, CASE WHEN e.event_type = 'click' AND e.value > 50 THEN true WHEN e.event_type = 'signup' THEN false ELSE f.tainted END,
+    f.hits + CASE WHEN e.event_type = 'error' AND f.tainted THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, CAST(max(hits) AS BIGINT) AS hits FROM f GROUP BY user_id
+""")
+def taint_fold(spark, sf_dir):
+    """State that rows set, clear and meet in order, by the last row that set or cleared it."""
+    e = table(spark, sf_dir, "events")
+    change = F.when((F.col("event_type") == "click") & (F.col("value") > 50), True).when(F.col("event_type") == "signup", False)
+    before = W.partitionBy("user_id").orderBy("ts").rowsBetween(W.unboundedPreceding, -1)
+    tainted = F.coalesce(F.last(change, True).over(before), F.lit(False))
+    return e.select("user_id", ((F.col("event_type") == "error") & tainted).alias("hit")).groupBy("user_id").agg(F.count_if("hit").alias("hits"))
+
+
+@query("""
+SELECT p.page_id, count(DISTINCT q.page_id) AS targets FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="(/[A-Za-z]+)"', 1)) AS link FROM pages) p
+JOIN (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="(/[A-Za-z]+)"', 1)) AS link FROM pages) q ON p.link = q.link AND p.page_id <> q.page_id GROUP BY p.page_id
+""")
+def shared_links(spark, sf_dir):
+    """Pages that share a link target."""
+    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[A-Za-z]+)"'), F.lit(1))).alias("link")).distinct()
+    other = links.select(F.col("page_id").alias("other"), "link")
+    return links.join(other, "link").where("page_id <> other").groupBy("page_id").agg(F.countDistinct("other").alias("targets"))
+
+
 # -- the SQL surface ---------------------------------------------------------
 
 
