@@ -698,17 +698,6 @@ def taint_fold(spark, sf_dir):
     return e.select("user_id", ((F.col("event_type") == "error") & tainted).alias("hit")).groupBy("user_id").agg(F.count_if("hit").alias("hits"))
 
 
-@query("""
-SELECT p.page_id, count(DISTINCT q.page_id) AS targets FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="(/[A-Za-z]+)"', 1)) AS link FROM pages) p
-JOIN (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="(/[A-Za-z]+)"', 1)) AS link FROM pages) q ON p.link = q.link AND p.page_id <> q.page_id GROUP BY p.page_id
-""")
-def shared_links(spark, sf_dir):
-    """Pages that share a link target."""
-    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[A-Za-z]+)"'), F.lit(1))).alias("link")).distinct()
-    other = links.select(F.col("page_id").alias("other"), "link")
-    return links.join(other, "link").where("page_id <> other").groupBy("page_id").agg(F.countDistinct("other").alias("targets"))
-
-
 # -- the SQL surface ---------------------------------------------------------
 
 
