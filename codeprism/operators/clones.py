@@ -13,6 +13,10 @@ from ..functions.scalars import window_fingerprint
 from .graph import connected_components
 
 
+def _starts(n: int) -> Column:
+    return F.when(F.size("toks") >= n, F.sequence(F.lit(0), F.size("toks") - n))
+
+
 def token_windows(tokens: DataFrame, n: int) -> DataFrame:
     """A row per window of ``n`` consecutive tokens of a file.
 
@@ -21,8 +25,8 @@ def token_windows(tokens: DataFrame, n: int) -> DataFrame:
     """
     if n < 1:
         raise ValueError("a window has at least one token")
-    starts = F.sequence(F.lit(0), F.size("toks") - n)
-    wide = tokens.where(F.size("toks") >= n).select("file", "toks", F.explode(starts).alias("pos"))
+    # a condition inside the generator, so that tokens aren't made a second time for a filter below it
+    wide = tokens.select("file", "toks", F.explode(_starts(n)).alias("pos"))
     return wide.select("file", "pos", window_fingerprint(F.slice("toks", F.col("pos") + 1, n)).alias("fingerprint"))
 
 
@@ -74,7 +78,7 @@ def clone_blocks(files: DataFrame, n: int) -> DataFrame:
     ``files``: file, toks, lines (the line of each token). Returns fingerprint,
     file, start, end for each island of lines that repeated windows cover.
     """
-    windows = files.where(F.size("toks") >= n).select("file", "toks", "lines", F.explode(F.sequence(F.lit(0), F.size("toks") - n)).alias("pos"))
+    windows = files.select("file", "toks", "lines", F.explode(_starts(n)).alias("pos"))
     windows = windows.select("file", window_fingerprint(F.slice("toks", F.col("pos") + 1, n)).alias("fingerprint"), F.expr("lines[pos]").alias("start"), F.expr(f"lines[pos + {n - 1}]").alias("end"))
     hot = windows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     return coalesce_ranges(windows.join(hot, "fingerprint").select("file", "start", "end"), ["file"])
