@@ -45,11 +45,12 @@ def rotate_perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn"
     seen = turns.join(cast, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     kind = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     name = F.when(F.col("role") == "user", F.concat(F.lit(" name="), "speaker")).otherwise(F.lit(""))
-    seen = seen.withColumn("role", kind).withColumn("head", F.concat(F.lit(OPEN), "role", name, F.lit("\n")))
-    seen = seen.withColumn("segment", F.concat("head", "content", F.lit(CLOSE + "\n"))).withColumn("size", F.length("segment").cast("bigint")).withColumn("lead", F.length("head"))
+    # only contents move; heads are written again where segments are
+    head = F.concat(F.lit(OPEN), "role", name, F.lit("\n"))
+    seen = seen.withColumn("role", kind).withColumn("lead", F.length(head)).withColumn("size", (F.col("lead") + F.length("content") + len(CLOSE) + 1).cast("bigint"))
     order = ("turn", "speaker", "content")
     group = ("conv_id", "perspective")
-    dealt = seen.drop("head").repartitionByRange(*group, *order).withColumn("chunk", F.spark_partition_id())
+    dealt = seen.repartitionByRange(*group, *order).withColumn("chunk", F.spark_partition_id())
     dealt = staged(dealt, "chat")
     # A row per conversation, perspective and chunk: what came before the chunk.
     sums = dealt.groupBy(*group, "chunk").agg(F.sum("size").alias("all"))
@@ -60,7 +61,7 @@ def rotate_perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn"
     out = dealt.withColumn("upto", inside).join(sums, on[0] & on[1] & on[2]).withColumn("seg_end", F.col("before") + F.col("upto")).withColumn("seg_start", F.col("seg_end") - F.col("size"))
     says = F.col("role") == "assistant"
     return out.select(
-        "conv_id", "perspective", "turn", "speaker", "role", "segment", "seg_start", "seg_end",
+        "conv_id", "perspective", "turn", "speaker", "role", F.concat(head, "content", F.lit(CLOSE + "\n")).alias("segment"), "seg_start", "seg_end",
         F.when(says, F.col("seg_start") + F.col("lead")).alias("mask_start"), F.when(says, F.col("seg_end") - 1).alias("mask_end"),
     )
 
