@@ -128,19 +128,33 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return staged(out.join(least, "root").select("node", F.least("component", "root").alias("component")), "components")
 
 
+#: Classes of so many rows are hot; so many of them at most are broadcast.
+HOT_ROWS, BROADCAST_HOT = 1_000, 200_000
+
+
 def linked_classes(everything: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """What links between classes say of each row.
 
     ``everything``: id, key (null: links with nothing); ``classes``: key, rep
     (smallest id), m (rows); ``found``: key, links (rows linked, of other
     classes) and edges a, b between reps. Returns id, class_id, n_links, kept.
-    The join back to rows is on keys that copies share: a plain sort-merge join
-    that adaptive execution may split.
+
+    Rows of hot classes, which would all meet in one task, get theirs from a
+    broadcast: such classes are a thousandth of the rows at most, and counted
+    before. The others join by key.
     """
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     components = connected_components(found.select("a", "b"))
     known = classes.select("key", "rep", "m").join(links, "key", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("key", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    linked = everything.where("key is not null").select("id", "key").join(known, "key").select("id", "class_id", "n_links")
+    known = staged(known.select("key", "m", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), "known")
+    rows = everything.where("key is not null").select("id", "key")
+    hot = known.where(F.col("m") >= HOT_ROWS)
+    if 0 < hot.limit(BROADCAST_HOT + 1).count() <= BROADCAST_HOT:
+        linked = rows.join(F.broadcast(hot.drop("m")), "key")
+        rest = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
+        linked = linked.unionByName(rest.join(known.where(F.col("m") < HOT_ROWS).drop("m"), "key"))
+    else:
+        linked = rows.join(known.drop("m"), "key")
+    linked = linked.select("id", "class_id", "n_links")
     bare = everything.where("key is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return linked.union(bare).withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))

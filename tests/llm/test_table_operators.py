@@ -151,6 +151,15 @@ def test_near_copies_empty_and_repeated(spark):
     assert [tuple(r) for r in N.drop_near_copies(again).collect()] == [(1, "a b c d e f")]
 
 
+def test_hot_classes_give_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    text = [" ".join(f"v{rng.randrange(50)}" for _ in range(30)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, text[min(i % 12, 5)]) for i in range(200)], "doc_id bigint, text string")
+    plain = sorted(map(tuple, N.near_copy_classes(docs).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    assert sorted(map(tuple, N.near_copy_classes(docs).collect())) == plain and max(r[2] for r in plain) > 100
+
+
 def test_prefix_is_shortened():
     d = N.prefix_length()
     assert 1 - (1 - 0.8**d) ** N.TREES >= N.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** N.TREES
