@@ -53,12 +53,14 @@ def rotate_perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn"
     dealt = seen.repartitionByRange(*group, *order).withColumn("chunk", F.spark_partition_id())
     dealt = staged(dealt, "chat")
     # A row per conversation, perspective and chunk: what came before the chunk.
-    sums = dealt.groupBy(*group, "chunk").agg(F.sum("size").alias("all"))
+    # One key of the three deals both sides, so that the window needs no exchange after the join.
+    part = (*group, "chunk")
+    key = F.to_json(F.struct(*part))
+    sums = dealt.groupBy(*part).agg(F.sum("size").alias("all"))
     before = F.sum("all").over(W.partitionBy(*group).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(*(F.col(c).alias(f"s_{c}") for c in (*group, "chunk")), F.coalesce(before, F.lit(0)).alias("before"))
-    on = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in (*group, "chunk")]
-    inside = F.sum("size").over(W.partitionBy(*group, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = dealt.withColumn("upto", inside).join(sums, on[0] & on[1] & on[2]).withColumn("seg_end", F.col("before") + F.col("upto")).withColumn("seg_start", F.col("seg_end") - F.col("size"))
+    sums = sums.select(key.alias("part"), F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum("size").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    out = dealt.withColumn("part", key).join(sums, "part").withColumn("seg_end", F.col("before") + inside).withColumn("seg_start", F.col("seg_end") - F.col("size"))
     says = F.col("role") == "assistant"
     return out.select(
         "conv_id", "perspective", "turn", "speaker", "role", F.concat(head, "content", F.lit(CLOSE + "\n")).alias("segment"), "seg_start", "seg_end",
