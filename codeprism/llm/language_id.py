@@ -3,6 +3,11 @@
 A word the model knows scores its smoothed log frequency in each language. An
 unseen word is walked with character n-grams: at each place the longest gram
 known there scores, and each step to a shorter one costs a constant.
+
+The probability only compares the learned languages with each other, so a text
+in none of them gets a high one too. Whether a text is in its language at all
+is told by the share of its words that are at home there: learned, or spelt
+like learned ones. :func:`fit_home` sets the bounds from learning documents.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,6 +31,10 @@ ORDERS = (4, 3, 2, 1)
 BACKOFF = np.log(0.4)
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
+#: A word that scores like the best but this share of a language's learned words is spelt like them; so many of these are looked at.
+ODD_WORDS, SPELT_WORDS = 0.05, 5_000
+#: A text needs HOME times the share of words at home that all but LOW_DOCS of its language's learning documents have.
+HOME, LOW_DOCS = 0.7, 0.01
 
 
 def words_of(text: str | None) -> list[str]:
@@ -44,6 +53,11 @@ class LanguageModel:
     words: dict[str, int]
     grams: dict[str, int]
     matrix: np.ndarray
+    #: How often the word of each row was counted, by language.
+    seen: np.ndarray
+    #: By language, as fit_home sets them: what a word at home scores at least, and the share of such words.
+    spelt: np.ndarray | None = None
+    home: np.ndarray | None = None
 
     @classmethod
     def build(cls, counts: pd.DataFrame) -> "LanguageModel":
@@ -51,6 +65,7 @@ class LanguageModel:
         langs = sorted(counts.lang.unique())
         at = {x: i for i, x in enumerate(langs)}
         words, grams, blocks = {}, {}, [np.full((1, len(langs)), -25.0)]  # row 0: not even a letter of it is known
+        seen = np.zeros((1, len(langs)))
         for n, part in counts.groupby("n"):
             total = np.zeros(len(langs))
             who, c = part.lang.map(at).to_numpy(), part.c.to_numpy(float)
@@ -60,9 +75,12 @@ class LanguageModel:
             block = np.tile(np.log(0.5 / space), (len(names), 1))
             block[which, who] = np.log((c + 0.5) / space[who])
             first = sum(map(len, blocks))
+            if not n:
+                seen = np.zeros((first + len(names), len(langs)))
+                seen[first + which, who] = c
             (grams if n else words).update(zip(names, range(first, first + len(names))))
             blocks.append(block + (ORDERS.index(n) * BACKOFF if n else 0.0))
-        return cls(langs, words, grams, np.concatenate(blocks))
+        return cls(langs, words, grams, np.concatenate(blocks), seen)
 
     def backoff(self, word: str) -> list[int]:
         """Rows for an unseen word: at each place the longest gram known there."""
@@ -78,23 +96,63 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, probability). ``und`` and 0 without any letter, or if nothing was learned."""
+        return self._told(words_of(text))[:2]
+
+    def judged(self, text: str | None, learned: bool = False) -> tuple[str, float, float]:
+        """(language, probability, share of words at home); needs ``spelt``.
+
+        ``learned``: the text was learned from, so that its words count as
+        known only where other texts have them too.
+        """
         words = words_of(text)
+        lang, score, places, fits = self._told(words)
+        if lang == UND:
+            return lang, score, 0.0
+        best, places = self.langs.index(lang), np.array(places)
+        fit = np.zeros(len(words))
+        fit[places < 0] = fits[:, best] if fits is not None else 0.0
+        known = places >= 0
+        if learned:
+            here = Counter(words)
+            for j in np.flatnonzero(known):
+                if self.seen[places[j]].sum() <= here[words[j]]:
+                    known[j], fit[j] = False, self.matrix[self.backoff(words[j]), best].mean()
+        return lang, score, float((known | (fit >= self.spelt[best])).mean())
+
+    def at_home(self, text: str | None) -> bool:
+        """Whether the text is in a learned language: told, likelier than not, and with enough words at home."""
+        lang, score, share = self.judged(text)
+        return lang != UND and score >= 0.5 and share >= self.home[self.langs.index(lang)]
+
+    def _told(self, words: list[str]) -> tuple[str, float, list[int], np.ndarray | None]:
+        """Language, probability, each word's row (-1: unseen) and the unseen words' scores."""
         if not words or not self.langs:
-            return UND, 0.0
+            return UND, 0.0, [], None
         get = self.words.get
         places = [get(w, -1) for w in words]
         known = [i for i in places if i >= 0]
-        total = self.matrix[known].sum(0)
+        total, fits = self.matrix[known].sum(0), None
         if len(known) < len(words):
-            rows, weights = [], []
+            rows, sizes = [], []
             for w, i in zip(words, places):
                 if i < 0:
                     own = self.backoff(w)
                     rows += own
-                    weights += [1 / len(own)] * len(own)
-            total = total + np.array(weights) @ self.matrix[rows]
+                    sizes.append(len(own))
+            fits = np.add.reduceat(self.matrix[rows], np.cumsum([0, *sizes[:-1]])) / np.array(sizes)[:, None]
+            total = total + fits.sum(0)
         best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+        return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum()), places, fits
+
+
+def _learning(docs: DataFrame, learn: Column, text: str, lang: str, id: str, fit_docs: int) -> DataFrame | None:
+    """id, text, lang of the documents learned from; None if there is none."""
+    rows = docs.where(F.col(lang).isNotNull() & learn).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
+        return None
+    shares = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, int(min(1.0, fit_docs / v) * (1 << 20)))))
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < shares[F.col("lang")])
 
 
 def fit_languages(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", id: str = "doc_id", fit_docs: int = FIT_DOCS) -> LanguageModel:
@@ -105,12 +163,9 @@ def fit_languages(docs: DataFrame, learn: Column, text: str = "text", lang: str
     words and grams, a bounded model, come to the driver. Rows whose language
     is null take no part; if there is none, every prediction is ``und``.
     """
-    rows = docs.where(F.col(lang).isNotNull() & learn).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
+    rows = _learning(docs, learn, text, lang, id, fit_docs)
+    if rows is None:
         return LanguageModel.build(pd.DataFrame({"lang": [], "n": [], "gram": [], "c": []}))
-    shares = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, int(min(1.0, fit_docs / v) * (1 << 20)))))
-    rows = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < shares[F.col("lang")])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,6 +188,43 @@ def fit_languages(docs: DataFrame, learn: Column, text: str = "text", lang: str
     return LanguageModel.build(best.drop("k").toPandas().sort_values(["lang", "n", "gram"]))
 
 
+def fit_home(model: LanguageModel, docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", id: str = "doc_id", fit_docs: int = FIT_DOCS) -> LanguageModel:
+    """The model with its bounds for words and texts at home, from the rows that :func:`fit_languages` learned from.
+
+    A learning document is judged without its own counts, so that new texts
+    of a language fare no worse. One number a document comes to the driver.
+    """
+    rows = _learning(docs, learn, text, lang, id, fit_docs)
+    if rows is None:
+        return model
+    spelt = np.full(len(model.langs), -np.inf)
+    names, at = list(model.words), np.fromiter(model.words.values(), int, len(model.words))
+    for k in range(len(model.langs)):
+        own = np.flatnonzero(model.seen[at, k])
+        if len(own):
+            own = own[:: max(1, len(own) // SPELT_WORDS)]
+            spelt[k] = np.quantile([model.matrix[model.backoff(names[i]), k].mean() for i in own], ODD_WORDS)
+    model = replace(model, spelt=spelt)
+
+    @F.pandas_udf("double")
+    def share(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.judged(t, learned=True)[2] if words_of(t) else None for t in texts], dtype="float64")
+
+    shares = rows.select("lang", share.asNondeterministic()("text").alias("share")).where("share is not null").toPandas().groupby("lang")["share"]
+    lows = shares.quantile(LOW_DOCS)
+    return replace(model, home=np.array([HOME * lows.get(x, 0.0) for x in model.langs]))
+
+
+def at_home(text: Column, model: LanguageModel) -> Column:
+    """Whether each text is in a language of the model; false for all if nothing was learned."""
+
+    @F.pandas_udf("boolean")
+    def judge(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.at_home(t) for t in texts], dtype=bool)
+
+    return judge.asNondeterministic()(text)
+
+
 def language_of(text: Column, model: LanguageModel) -> Column:
     """struct<lang_pred, score> of each text."""
 

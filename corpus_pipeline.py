@@ -22,10 +22,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: not ``und``, and likelier than not."""
-    model = language_id.fit_languages(docs, ~language_id.held_out(F.col("doc_id")))
-    told = docs.withColumn("__language", language_id.language_of(F.col("text"), model))
-    return told.where((F.col("__language.lang_pred") != language_id.UND) & (F.col("__language.score") >= 0.5)).select(*COLUMNS)
+    """Documents in a learned language: told, likelier than not, and with enough words at home in it."""
+    learn = ~language_id.held_out(F.col("doc_id"))
+    model = language_id.fit_home(language_id.fit_languages(docs, learn), docs, learn)
+    return docs.where(language_id.at_home(F.col("text"), model)).select(*COLUMNS)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,3 +264,15 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     for i, t in clean[:10]:
         ids = b"".join(bytes(r.ids) for r in sorted((r for r in out if r.doc_id == i), key=lambda r: r.start))
         assert ids == np.array([*encode([t])[0], 0], "<u4").tobytes()
+
+
+def test_pipeline_language_stage(spark):
+    """The stage drops foreign and gibberish documents; before, their score of almost 1 kept them."""
+    rng = random.Random(8)
+    words = {"aa": ["ka", "lo", "mi", "ne", "ru"], "bb": ["sch", "ung", "ei", "ver", "ten"]}
+    text = lambda l, n: " ".join("".join(rng.choice(words[l]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    noise = lambda n: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyzaeiou") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    rows = [(i, text(("aa", "bb")[i % 2], rng.randint(1, 60)), ("aa", "bb")[i % 2]) for i in range(200)]
+    rows += [(1000 + i, noise(30), None) for i in range(20)] + [(2000, "Il governo ha annunciato ieri una nuova legge che riguarda la scuola e gli insegnanti di tutto il paese", None)]
+    docs = spark.createDataFrame([(i, t, l, "s", len(t)) for i, t, l in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in corpus_pipeline.keep_language(spark, docs, "").collect()} == set(range(200))

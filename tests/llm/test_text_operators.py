@@ -92,6 +92,26 @@ def test_language_nothing_learned(spark):
     assert L.fit_languages(docs, F.lit(True)).predict("abc") == (L.UND, 0.0)
 
 
+def test_language_home(spark):
+    """Foreign and made-up texts are in no learned language, however sure the best one is; held-out texts are."""
+    english = "the government of this country has said that new schools will open in spring and teachers are needed for all of them people there".split()
+    spanish = "el gobierno de este país ha dicho que las nuevas escuelas abren en primavera y se necesitan maestros para todas ellas la gente allí".split()
+    rng = random.Random(4)
+    make = lambda words: " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))
+    docs = spark.createDataFrame([(i, make((english, spanish)[i % 2]), ("en", "es")[i % 2]) for i in range(300)], "doc_id bigint, text string, lang string")
+    learn = ~L.held_out(F.col("doc_id"))
+    model = L.fit_home(L.fit_languages(docs, learn), docs, learn)
+    assert docs.where(L.at_home(F.col("text"), model)).count() == 300
+    italian = "Il governo ha annunciato ieri una legge che riguarda la scuola e gli insegnanti; molti cittadini hanno chiesto spiegazioni"
+    turkish = "Hükümet dün ülkedeki okullar ve öğretmenler hakkında yeni bir yasa açıkladı, birçok vatandaş açıklama istedi"
+    gibberish = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(30)) for _ in range(50)]
+    odd = spark.createDataFrame([(t,) for t in [italian, turkish, *gibberish, "123", "", None]], "text string")
+    assert max(model.predict(t)[1] for t in gibberish) > 0.99 and model.predict(italian)[1] > 0.9
+    assert odd.where(L.at_home(F.col("text"), model)).count() == 0
+    none = docs.limit(0)
+    assert docs.where(L.at_home(F.col("text"), L.fit_home(L.fit_languages(none, learn), none, learn))).count() == 0
+
+
 # -- decontamination ---------------------------------------------------------
 
 
