@@ -92,9 +92,14 @@ def version_in_range(version: str | Column, low: str | Column, high: str | Colum
     return above & ((col(high) == "") | (v < version_parts(high)))
 
 
+def window_digest(tokens: Column) -> Column:
+    """Identity of a token window: SHA-256, in hex digits, over tokens that each end with a zero byte."""
+    return F.sha2(F.concat(F.array_join(tokens, "\x00"), F.lit("\x00")), 256)
+
+
 def window_fingerprint(tokens: Column) -> Column:
-    """Identity of a token window: eight hex digits of SHA-256 over tokens that each end with a zero byte."""
-    return F.concat(F.lit("dup:"), F.substring(F.sha2(F.concat(F.array_join(tokens, "\x00"), F.lit("\x00")), 256), 1, 8))
+    """Label of a token window: eight hex digits of its digest, which unlike windows can share."""
+    return F.concat(F.lit("dup:"), F.substring(window_digest(tokens), 1, 8))
 
 
 def shannon_entropy(c: str | Column) -> Column:

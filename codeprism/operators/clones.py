@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from ..functions.scalars import window_fingerprint
+from ..functions.scalars import window_digest, window_fingerprint
 from .graph import connected_components
 
 
@@ -17,17 +17,18 @@ def _starts(n: int) -> Column:
     return F.when(F.size("toks") >= n, F.sequence(F.lit(0), F.size("toks") - n))
 
 
-def token_windows(tokens: DataFrame, n: int) -> DataFrame:
+def token_windows(tokens: DataFrame, n: int, whole: bool = False) -> DataFrame:
     """A row per window of ``n`` consecutive tokens of a file.
 
-    ``tokens``: file, toks (array of strings). Returns file, pos, fingerprint.
+    ``tokens``: file, toks (array of strings). Returns file, pos, fingerprint;
+    with ``whole`` the digest in place of its first 32 bits.
     Made from shifted arrays inside a row, so no sort or shuffle is needed.
     """
     if n < 1:
         raise ValueError("a window has at least one token")
     # a condition inside the generator, so that tokens aren't made a second time for a filter below it
     wide = tokens.select("file", "toks", F.explode(_starts(n)).alias("pos"))
-    return wide.select("file", "pos", window_fingerprint(F.slice("toks", F.col("pos") + 1, n)).alias("fingerprint"))
+    return wide.select("file", "pos", (window_digest if whole else window_fingerprint)(F.slice("toks", F.col("pos") + 1, n)).alias("fingerprint"))
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:

@@ -103,8 +103,8 @@ SELECT file AS doc_id, item_id, count(*) AS windows FROM d JOIN b USING (f) GROU
 """)
 def benchmark_overlap(spark, sf_dir):
     """C2 across corpora: token windows of documents that occur in benchmark items."""
-    docs = clones.token_windows(token_arrays(spark, sf_dir), 10).withColumnRenamed("file", "doc_id")
-    items = clones.token_windows(token_arrays(spark, sf_dir, "benchmark", "item_id"), 10).select(F.col("file").alias("item_id"), "fingerprint").distinct()
+    docs = clones.token_windows(token_arrays(spark, sf_dir), 10, whole=True).withColumnRenamed("file", "doc_id")
+    items = clones.token_windows(token_arrays(spark, sf_dir, "benchmark", "item_id"), 10, whole=True).select(F.col("file").alias("item_id"), "fingerprint").distinct()
     return docs.join(items, "fingerprint").groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))
 
 

@@ -33,6 +33,14 @@ def test_query(spark, oracle, name):
     assert got == sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in rel.fetchall())
 
 
+def test_overlap_confirms_the_whole_digest(spark, tmp_path):
+    """Two unlike windows whose digests begin with the same 32 bits don't overlap."""
+    text = lambda i: f"w{i} a b c d e f g h i"
+    spark.createDataFrame([(1, text(10463)), (2, text(78953))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, text(78953))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in core.QUERIES["benchmark_overlap"](spark, str(tmp_path)).select("doc_id", "item_id", "windows").collect()] == [(2, 7, 1)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
