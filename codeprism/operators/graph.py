@@ -73,13 +73,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Strongly connected components of two nodes or more: node, component (smallest node).
 
-    Forward-backward colouring: each round every live node takes the smallest
-    node that reaches it; the nodes of a colour that reach its root backwards
-    within the colour are the root's component and leave.
+    Forward-backward colouring: each round every live node takes the first
+    node that reaches it, in an order that a hash draws anew; the nodes of a
+    colour that reach its root backwards within the colour are the root's
+    component and leave. An order by id would take one component a round from
+    a chain of cycles with ascending ids.
     """
     live = kept(edges.select("a", "b").where("a <> b").distinct())
     found = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         # nodes without an edge in or out are in no cycle: trimmed until none is left to trim
         size = live.count()
         while size:
@@ -90,7 +92,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
                 break
         if not size:
             break
-        colour = kept(live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("c", F.col("node")))
+        colour = kept(live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("c", F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node").alias("v"))))
         while True:
             pushed = live.join(colour.select(F.col("node").alias("a"), "c"), "a").groupBy(F.col("b").alias("node")).agg(F.min("c").alias("p"))
             after = kept(colour.join(pushed, "node", "left").select("node", F.least("c", F.coalesce("p", "c")).alias("c"), (F.coalesce("p", "c") < F.col("c")).alias("moved")))
@@ -99,11 +101,13 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
                 break
         inside = live.join(colour.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
         inside = kept(inside.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")))
-        back = reachable(inside, colour.where("node = c").select("node")).select("node")
-        part = kept(colour.join(back, "node").select("node", F.col("c").alias("component")))
+        back = reachable(inside, colour.where("node = c.v").select("node")).select("node")
+        part = kept(colour.join(back, "node").select("node", F.col("c.v").alias("root")))
         found = part if found is None else found.unionByName(part)
         live = kept(live.join(back.withColumnRenamed("node", "a"), "a", "left_anti").join(back.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+    else:
+        raise RuntimeError(f"strong components need more than {max_rounds} rounds")
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
-    big = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return found.join(big, "component").select("node", "component")
+    big = found.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("component")).where("n > 1").drop("n")
+    return found.join(big, "root").select("node", "component")

@@ -37,6 +37,14 @@ def test_graph(spark):
     assert graph.strong_components(none).count() == graph.connected_components(none).count() == 0
 
 
+def test_chained_cycles(spark):
+    """Cycles chained by one-way edges: all are found in few rounds, or an error says that rounds ran out."""
+    e = spark.createDataFrame([x for i in range(1, 25, 2) for x in ((i, i + 1), (i + 1, i), (i + 1, i + 2))], "a int, b int")
+    assert rows(graph.strong_components(e, 9)) == sorted([(i, i - (i + 1) % 2) for i in range(1, 25)], key=str)
+    with pytest.raises(RuntimeError):
+        graph.strong_components(e, 1)
+
+
 def test_clones(spark, files):
     block = "\n".join(f"\tcall{i}(x{i})" for i in range(20))
     toks = T.token_table(files({"a.go": f"package a\n{block}\n", "b.go": f"package b\nvar z = 1\n{block}\n", "c.go": "package c\n"}))
