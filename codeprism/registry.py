@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import ai_quality, cicd, deadcode, frameworks, health, prompt_safety, taint
+from .operators import ai_quality, cicd, deadcode, frameworks, health, line_rules, prompt_safety, taint
 from .parse import tables as T
+from .sources import manifests
 
 #: module -> rules as (id, severity, what it finds).
 RULES = {
@@ -80,10 +81,26 @@ def _complexity(files: DataFrame) -> DataFrame:
     return health.complexity_findings(metrics, health.file_health(metrics))
 
 
+#: String literals that could be keys.
+LITERAL = r"[\"'`]([^\"'`\s]{16,256})[\"'`]"
+
+
+def _security(files: DataFrame) -> DataFrame:
+    """Taint, secrets and key-like strings outside test paths, and vulnerable dependencies, each with its own severity or the rule's."""
+    lines = line_rules.numbered_lines(files)
+    at = lambda found, rule: found.select(F.lit(rule).alias("rule_id"), F.col("path").alias("file"), F.col("line_no").alias("start_line"), F.lit(None).cast("string").alias("severity"))
+    literals = lines.where(~F.col("path").rlike(line_rules.TEST_PATHS) & line_rules.secret_kind("line").isNull())
+    literals = literals.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(LITERAL), 1)).alias("token"))
+    out = taint.taint(files).select("rule_id", "file", "start_line", F.lit(None).cast("string").alias("severity"))
+    out = out.unionByName(at(line_rules.secrets(lines, "path"), "hardcoded-secret")).unionByName(at(line_rules.high_entropy(literals), "high-entropy-string"))
+    vulnerable = manifests.vulnerable_dependencies(manifests.dependencies(files))
+    return out.unionByName(vulnerable.select(F.lit("vulnerable-dependency").alias("rule_id"), "file", "start_line", "severity"))
+
+
 def default_registry() -> Registry:
     out = Registry()
     for module, run in (
-        ("dead-code", deadcode.dead_code), ("complexity", _complexity), ("security", taint.taint), ("ai-quality", ai_quality.ai_quality), ("llm-defense", prompt_safety.prompt_safety), ("cicd", cicd.cicd),
+        ("dead-code", deadcode.dead_code), ("complexity", _complexity), ("security", _security), ("ai-quality", ai_quality.ai_quality), ("llm-defense", prompt_safety.prompt_safety), ("cicd", cicd.cicd),
         ("frameworks", lambda files: frameworks.framework_findings(frameworks.framework_entries(files))),
     ):
         out.register(module, run)

@@ -13,6 +13,20 @@ def test_registry(files, spark):
     assert set(reg.seconds) == set(reg.modules) and R.rules_table(spark).count() == sum(map(len, R.RULES.values()))
 
 
+def test_security_unites_its_scans(files):
+    """Secrets, key-like strings and vulnerable dependencies are found with taint; test paths hold no secrets."""
+    key, odd = "AKIA" + "ABCDEFGHIJKLMNOP", "q7Xz9Lm2Vt4Rb8Kd1Wp6Hs3Yc5Nf0Gj"
+    tree = files({
+        "a.py": f"import os\n\ndef f(request):\n    x = request.args\n    os.system(x)\nk = '{key}'\nz = '{odd}'\n",
+        "tests/b.py": f"k = '{key}'\nz = '{odd}'\n", "requirements.txt": "pyyaml==5.4\nflask==3.0.0\n",
+    })
+    rows = {tuple(r) for r in R.default_registry().analyse("security", tree).collect()}
+    assert rows == {
+        ("security", "command-injection", "a.py", 5, "error"), ("security", "hardcoded-secret", "a.py", 6, "error"), ("security", "high-entropy-string", "a.py", 7, "warning"),
+        ("security", "vulnerable-dependency", "requirements.txt", 1, "error"),
+    }
+
+
 def test_explain():
     assert R.explain("security:xss")[0] == R.explain("xss")[0] == "security" and R.explain("unused-file")[2] == "info"
     with pytest.raises(KeyError):
