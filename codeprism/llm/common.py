@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, a single machine) a local
-    folder takes its place.
+    Only under a local master that leaves it unset (tests) a local folder takes
+    its place; a cluster without it is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="codeprism-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -61,6 +64,32 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def needed_count(m: int, p: float, recall: float) -> int:
+    """The largest count that Binomial(m, p) reaches with the probability ``recall``."""
+    tail, need = 0.0, 0
+    for k in range(m + 1):
+        tail += comb(m, k) * p**k * (1 - p) ** (m - k)
+        if tail > 1 - recall:
+            return k
+        need = k
+    return need
+
+
+#: Narrow keys up to this many are broadcast (they are counted first); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def by_id(rows: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Join with a side of distinct narrow ``ids``: broadcast within its bound, else shuffled."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if small else ids, on, how)
+
+
+def by_block(rows: DataFrame) -> DataFrame:
+    """Rows of a block together, one block after the other."""
+    return rows.repartition("block").sortWithinPartitions("block")
+
+
 def runs_of(batches: Iterator[pd.DataFrame], key: str) -> Iterator[dict[str, np.ndarray]]:
     """The columns of each run of equal ``key`` in batches sorted by it.
 
@@ -133,33 +162,77 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return staged(out.join(least, "root").select("node", F.least("component", "root").alias("component")), "components")
 
 
-#: Classes of so many rows are hot; so many of them at most are broadcast.
-HOT_ROWS, BROADCAST_HOT = 1_000, 200_000
+class Roots:
+    """Connected rows of a block: ``root`` holds the first row that each is joined to."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Join pairs of rows. Pairs that are joined already cost one look."""
+        while len(i):
+            a, b = self.root[i], self.root[j]
+            new = a != b
+            i, j, a, b = i[new], j[new], a[new], b[new]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while (up := self.root[self.root]).tolist() != self.root.tolist():
+                self.root = up
+
+    def parents(self, fan: int = 8) -> np.ndarray:
+        """A parent for each row, the first of a group its own: trees that join
+        the groups, with at most ``fan`` children a row, so that no hub arises."""
+        order = np.argsort(self.root, kind="stable")
+        starts = np.flatnonzero(np.r_[True, self.root[order][1:] != self.root[order][:-1]]) if len(order) else order
+        first = np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        k = np.arange(len(order)) - first
+        out = np.empty(len(order), np.int64)
+        out[order] = order[first + np.maximum(k - 1, 0) // fan]
+        return out
+
+
+#: Classes of so many rows are hot; a join by key splits a class into as many parts as it has this many rows.
+HOT_ROWS = 100_000
+
+
+def node_of(key: Column) -> Column:
+    """A class as a graph node: 63 bits of its key's hash."""
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1))
 
 
 def linked_classes(everything: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """What links between classes say of each row.
 
-    ``everything``: id, key (null: links with nothing); ``classes``: key, rep
-    (smallest id), m (rows); ``found``: key, links (rows linked, of other
-    classes) and edges a, b between reps. Returns id, class_id, n_links, kept.
+    ``everything``: id, key (null: links with nothing), more; ``classes``: key,
+    rep (smallest id), m (rows); ``found``: key, links (rows linked, of other
+    classes) and edges a, b between nodes (:func:`node_of`). Returns id, class_id,
+    n_links, kept and the further columns of ``everything``.
 
-    Rows of hot classes, which would all meet in one task, get theirs from a
-    broadcast: such classes are a thousandth of the rows at most, and counted
-    before. The others join by key.
+    Classes alone of their text and without a link need no join at all: what a
+    row needs to know is joined for the others. The rows of a class with very many
+    of them are dealt over as many keys as it has ``HOT_ROWS``.
     """
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     components = connected_components(found.select("a", "b"))
-    known = classes.select("key", "rep", "m").join(links, "key", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    known = staged(known.select("key", "m", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), "known")
-    rows = everything.where("key is not null").select("id", "key")
-    hot = known.where(F.col("m") >= HOT_ROWS)
-    if 0 < hot.limit(BROADCAST_HOT + 1).count() <= BROADCAST_HOT:
-        linked = rows.join(F.broadcast(hot.drop("m")), "key")
-        rest = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
-        linked = linked.unionByName(rest.join(known.where(F.col("m") < HOT_ROWS).drop("m"), "key"))
+    known = classes.select("key", "rep", "m").join(links, "key", "left").where("m > 1 or links is not null")
+    known = staged(known.withColumn("node", node_of(F.col("key"))).join(components, "node", "left"), "known")
+    least = known.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    known = known.join(least, "component", "left")
+    parts = F.ceil(F.col("m") / HOT_ROWS).cast("int")
+    known = known.select("key", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), parts.alias("parts"))
+    known = staged(known, "classes-known")
+    salted = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    most = known.agg(F.max("parts")).first()[0] or 1
+    rows = everything.where("key is not null")
+    if most > 1:
+        # a row's part, below the parts of its class; only hot classes have several
+        hot = known.where("parts > 1").select("key", "parts")
+        rows = rows.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "key", "left")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     else:
-        linked = rows.join(known.drop("m"), "key")
-    linked = linked.select("id", "class_id", "n_links")
-    bare = everything.where("key is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return linked.union(bare).withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))
+        rows = rows.withColumn("part", F.lit(0))
+    out = rows.join(salted, ["key", "part"], "left").drop("part")
+    # rows without a key, maybe many, would all meet in one task of the join
+    bare = everything.where("key is null").withColumns({"class_id": F.lit(None).cast("bigint"), "n_links": F.lit(None).cast("bigint")})
+    out = out.unionByName(bare)
+    out = out.withColumns({"class_id": F.coalesce("class_id", "id"), "n_links": F.coalesce("n_links", F.lit(0).cast("bigint"))})
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)))

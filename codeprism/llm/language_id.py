@@ -25,8 +25,6 @@ from .common import table
 
 #: At most about this many documents of a language are learned from (a hash of the id picks them).
 FIT_DOCS = 2_000
-#: Size of the model: words and n-grams of each order kept for a language, the most frequent.
-KEEP_WORDS, KEEP_GRAMS = 30_000, 10_000
 ORDERS = (4, 3, 2, 1)
 BACKOFF = np.log(0.4)
 WORD = re.compile(r"[^\W\d_]+")
@@ -38,7 +36,11 @@ HOME, LOW_DOCS = 0.7, 0.01
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased. ``WORD`` also takes numbers that are no digits (fractions, numerals): they part words."""
+    words = WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for x in words for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 @dataclass
@@ -159,9 +161,9 @@ def fit_languages(docs: DataFrame, learn: Column, text: str = "text", lang: str
     """Learn from rows with a language for which ``learn`` holds.
 
     A language with more than ``fit_docs`` documents is thinned by a hash of
-    the id. Counts are made on the workers and summed; only the most frequent
-    words and grams, a bounded model, come to the driver. Rows whose language
-    is null take no part; if there is none, every prediction is ``und``.
+    the id. Counts are made and summed on the workers; all of them, bounded by
+    the sample, come to the driver. Rows whose language is null take no part; if
+    there is none, every prediction is ``und``.
     """
     rows = _learning(docs, learn, text, lang, id, fit_docs)
     if rows is None:
@@ -179,13 +181,8 @@ def fit_languages(docs: DataFrame, learn: Column, text: str = "text", lang: str
                             grams[n, marked[i : i + n]] += c
                 yield pd.DataFrame([(code, 0, w, c) for w, c in words.items()] + [(code, n, g, c) for (n, g), c in grams.items()], columns=["lang", "n", "gram", "c"])
 
-    from pyspark.sql import Window as W
-
     counts = rows.select("lang", "text").mapInPandas(count, "lang string, n int, gram string, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    # one sample's counts: the windows hold a language's distinct grams of at most fit_docs documents
-    order = W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")
-    best = counts.withColumn("k", F.row_number().over(order)).where(F.when(F.col("n") == 0, F.col("k") <= KEEP_WORDS).otherwise(F.col("k") <= KEEP_GRAMS))
-    return LanguageModel.build(best.drop("k").toPandas().sort_values(["lang", "n", "gram"]))
+    return LanguageModel.build(counts.toPandas().sort_values(["lang", "n", "gram"]))
 
 
 def fit_home(model: LanguageModel, docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", id: str = "doc_id", fit_docs: int = FIT_DOCS) -> LanguageModel:

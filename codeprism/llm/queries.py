@@ -19,4 +19,4 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_chat_format": chat_format.OP1_SQL, "op9_url_filter": url_filter.OP9_SQL, "op10_warc": warc.OP10_SQL}
+ORACLES = {"op1_chat_format": chat_format.OP1_SQL, "op4_embedding_dedup": embedding_dedup.OP4_SQL, "op8_near_copies": near_copies.OP8_SQL, "op9_url_filter": url_filter.OP9_SQL, "op10_warc": warc.OP10_SQL}

@@ -90,18 +90,34 @@ def test_vectors_equal_brute_force(spark):
 
 
 def test_vectors_in_small_blocks(spark, monkeypatch):
-    """Many slabs and chunks give what one block gives."""
+    """Many cells, orders and chunks give what one block gives."""
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 16))
     rows = [(i, [float(c) for c in base[i % 60] + rng.standard_normal(16) * 0.08]) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     whole = sorted(map(tuple, E.near_vectors(df).collect()))
+    assert any(r[2] for r in whole) and E.Projections(16, 300).rotations == 0
     monkeypatch.setattr(E, "BLOCK", 25)
-    assert sorted(map(tuple, E.near_vectors(df).collect())) == whole and any(r[2] for r in whole)
+    assert sorted(map(tuple, E.near_vectors(df).collect())) == whole
+    monkeypatch.setattr(E, "CELL", 20)
+    assert E.Projections(16, 300).rotations == 1 and E.Projections(16, 300).orders > 5
+    assert sorted(map(tuple, E.near_vectors(df).collect())) == whole
+
+
+def test_cells_hold_the_recall():
+    """Pairs right at the threshold: orders find at least the share that they are dealt for."""
+    rng = np.random.default_rng(6)
+    by = E.Projections(64, 100_000)
+    x, z = rng.standard_normal((2, 4000, 64))
+    x, z = E.units(x), E.units(z - (z * E.units(x)).sum(1, keepdims=True) * E.units(x))
+    (qa, a), (qb, b) = by.project(x), by.project(0.9501 * x + np.sqrt(1 - 0.9501**2) * z)
+    near = np.abs(qa.astype(int) - qb) <= E.STEPS + 1
+    found = ((a == b) & near[:, np.arange(by.orders) % by.m]).any(1) & (near.sum(1) >= by.need)
+    assert by.rotations >= 1 and found.mean() >= 0.9995
 
 
 def test_needed_count():
-    assert E.needed_count(40, 0.8664) in range(22, 28) and E.needed_count(1, 0.5) == 0
+    assert common.needed_count(40, 0.8664, 0.99999) in range(22, 28) and common.needed_count(1, 0.5, 0.9) == 0
 
 
 # -- near copies -------------------------------------------------------------
@@ -124,7 +140,7 @@ def brute_near(rows):
 
 @pytest.mark.parametrize("block", [256, 8])
 def test_near_copies_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "CHUNK", block)
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(400)]
     bases = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 4, 5, 6, 40, 200]))] for _ in range(25)]
