@@ -7,12 +7,20 @@ assistant says is marked by character spans to train on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
+from collections.abc import Iterator
+from itertools import groupby
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from .common import staged, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SYSTEM, UNKNOWN = "system", "unknown"
+#: Turns and characters of a chunk at most (a single longer turn is a chunk of its own), and perspectives that a chunk is sent for at once.
+CHUNK_TURNS, CHUNK_CHARS, CAST = 2_000, 1 << 20, 500
+#: Summaries up to this many rows are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def plain(c: Column) -> Column:
@@ -20,6 +28,15 @@ def plain(c: Column) -> Column:
     return F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
+def plain_name(c: Column) -> Column:
+    """A speaker's name, as plain text on one line, since it stands in a head line."""
+    return F.regexp_replace(plain(c), r"[\r\n]+", " ")
+
+
+def head(kind: str, speaker: str) -> str:
+    return f"{OPEN}{kind}" + (f" name={speaker}" if kind == "user" else "") + "\n"
+
+
 def rotate_perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A row per participant's perspective and turn of each conversation.
 
@@ -33,39 +50,118 @@ def rotate_perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn"
     Turns are ordered by turn, speaker and text, so ties and repeated rows have
     one order; null turns come first. A null role is a speaker of its own
     (``unknown``), a null text is empty, rows without a conversation are one
-    conversation. ``<|`` in names and texts becomes ``< |``. Extra columns are
-    not looked at.
-
-    A conversation may hold any share of the rows: offsets are summed in chunks
-    of a range partitioning and chained over the chunks, so none is gathered in
-    one task.
+    conversation. ``<|`` in names and texts becomes ``< |``, line breaks in names
+    become spaces. Extra columns are not looked at.
+
+    Texts move once, into a range partitioning by conversation and order, where
+    each conversation's turns are packed into chunks of bounded size. A chunk
+    alone in its conversation renders all perspectives by itself. The chunks of
+    longer conversations get where each perspective stands from their sums; one
+    is sent for ``CAST`` perspectives at a time, so that a conversation may hold
+    any share of the rows and any number of speakers.
     """
-    turns = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), plain(F.coalesce(F.col(role), F.lit(UNKNOWN))).alias("speaker"), plain(F.col(text)).alias("content"))
-    cast = turns.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    seen = turns.join(cast, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    kind = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
-    name = F.when(F.col("role") == "user", F.concat(F.lit(" name="), "speaker")).otherwise(F.lit(""))
-    # only contents move; heads are written again where segments are
-    head = F.concat(F.lit(OPEN), "role", name, F.lit("\n"))
-    seen = seen.withColumn("role", kind).withColumn("lead", F.length(head)).withColumn("size", (F.col("lead") + F.length("content") + len(CLOSE) + 1).cast("bigint"))
-    order = ("turn", "speaker", "content")
-    group = ("conv_id", "perspective")
-    dealt = seen.repartitionByRange(*group, *order).withColumn("chunk", F.spark_partition_id())
-    dealt = staged(dealt, "chat")
-    # A row per conversation, perspective and chunk: what came before the chunk.
-    # One key of the three deals both sides, so that the window needs no exchange after the join.
-    part = (*group, "chunk")
-    key = F.to_json(F.struct(*part))
-    sums = dealt.groupBy(*part).agg(F.sum("size").alias("all"))
-    before = F.sum("all").over(W.partitionBy(*group).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(key.alias("part"), F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("size").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = dealt.withColumn("part", key).join(sums, "part").withColumn("seg_end", F.col("before") + inside).withColumn("seg_start", F.col("seg_end") - F.col("size"))
-    says = F.col("role") == "assistant"
-    return out.select(
-        "conv_id", "perspective", "turn", "speaker", "role", F.concat(head, "content", F.lit(CLOSE + "\n")).alias("segment"), "seg_start", "seg_end",
-        F.when(says, F.col("seg_start") + F.col("lead")).alias("mask_start"), F.when(says, F.col("seg_end") - 1).alias("mask_end"),
+    speaker = plain_name(F.coalesce(F.col(role), F.lit(UNKNOWN)))
+    turns = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), speaker.alias("speaker"), plain(F.col(text)).alias("content"))
+    order = ("conv_id", "turn", "speaker", "content")
+    types = {f.name: f.dataType.simpleString() for f in turns.schema}
+    chunk = f"array<struct<turn: {types['turn']}, speaker: string, content: string>>"
+    packed = f"conv_id {types['conv_id']}, part int, seq int, turns {chunk}, alone boolean, total bigint, spoken array<struct<speaker: string, less: bigint>>"
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, seq, held, chars, conv_id, out, ready = TaskContext.get().partitionId(), 0, [], 0, None, [], 0
+
+        def close(alone: bool) -> None:
+            nonlocal seq, held, chars, ready
+            total, less = 0, {}
+            for t in held:
+                kind = SYSTEM if t["speaker"] == SYSTEM else "user"
+                size = len(head(kind, t["speaker"])) + len(t["content"]) + len(CLOSE) + 1
+                total += size
+                if kind == "user":  # what the turn is shorter by as the assistant's
+                    less[t["speaker"]] = less.get(t["speaker"], 0) + len(head("user", t["speaker"])) - len(head("assistant", ""))
+            out.append({"conv_id": conv_id, "part": part, "seq": seq, "turns": held, "alone": alone, "total": total, "spoken": [{"speaker": k, "less": v} for k, v in less.items()]})
+            seq, held, chars, ready = seq + 1, [], 0, ready + chars
+
+        first = whole = True  # of the task's conversations, and of the current one
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["conv_id"] != conv_id:
+                    # the first conversation of a task may have begun in another one
+                    close(whole and not first)
+                    first, whole = False, True
+                elif held and (len(held) >= CHUNK_TURNS or chars + len(row["content"]) > CHUNK_CHARS):
+                    close(False)
+                    whole = False
+                conv_id = row.pop("conv_id")
+                held.append(row)
+                chars += len(row["content"])
+                if len(out) >= 5_000 or ready > 4 * CHUNK_CHARS:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, ready = [], 0
+        if held:
+            close(False)  # the last one may go on in another task
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(StructType.fromDDL(packed))
+    chunks = staged(turns.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, packed), "chat")
+
+    # Chunks that may share a conversation: the few at the ends of tasks, and those of long conversations.
+    parts = chunks.where("not alone").select("conv_id", "part", "seq", "total", "spoken")
+    sums = parts.select("conv_id", "part", "seq", "total")
+    before = W.partitionBy("conv_id").orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    spoken = parts.select("conv_id", "part", "seq", F.explode("spoken").alias("x")).select("conv_id", "part", "seq", F.col("x.speaker").alias("perspective"), "x.less")
+    cast = spoken.select(F.col("conv_id").alias("c"), "perspective").distinct()
+    each = sums.join(cast, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    same = [F.col("s.conv_id").eqNullSafe(F.col("e.conv_id")), *(F.col(f"s.{k}") == F.col(f"e.{k}") for k in ("part", "seq", "perspective"))]
+    each = each.alias("e").join(spoken.alias("s"), same, "left").select("e.*", "s.less")
+    own = W.partitionBy("conv_id", "perspective").orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
+    each = each.withColumn("start", F.col("base") - F.coalesce(F.sum("less").over(own), F.lit(0)))
+    who = F.struct("perspective", "start")
+    sent = each.withColumn("g", F.pmod(F.xxhash64("perspective"), F.ceil(F.count("*").over(W.partitionBy("part", "seq")) / CAST).cast("bigint"))).groupBy("part", "seq", "g").agg(F.collect_list(who).alias("cast"))
+    sent = staged(sent.drop("g"), "chat-casts")
+    if sent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        sent = F.broadcast(sent)
+    alone = chunks.where("alone").select("conv_id", "turns", F.transform("spoken", lambda x: F.struct(x["speaker"].alias("perspective"), F.lit(0).cast("bigint").alias("start"))).alias("cast"))
+    rest = chunks.where("not alone").join(sent, ["part", "seq"]).select("conv_id", "turns", "cast")
+    result = (
+        f"conv_id {types['conv_id']}, perspective string, turn {types['turn']}, speaker string, role string, segment string, seg_start bigint, seg_end bigint, mask_start bigint, mask_end bigint"
     )
+    rendered = to_arrow_schema(StructType.fromDDL(result))
+
+    def render(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out, chars = [], 0
+            for row in batch.to_pylist():
+                # heads and segments of users are alike from all perspectives
+                users = [head(SYSTEM if t["speaker"] == SYSTEM else "user", t["speaker"]) for t in row["turns"]]
+                segments = [h + t["content"] + CLOSE + "\n" for h, t in zip(users, row["turns"])]
+                mine = head("assistant", "")
+                for p in row["cast"]:
+                    who, at = p["perspective"], p["start"]
+                    for t, user in zip(row["turns"], segments):
+                        says = t["speaker"] == who
+                        kind = "assistant" if says else SYSTEM if t["speaker"] == SYSTEM else "user"
+                        segment = mine + t["content"] + CLOSE + "\n" if says else user
+                        end = at + len(segment)
+                        mask = (at + len(mine), end - 1) if says else (None, None)
+                        out.append((row["conv_id"], who, t["turn"], t["speaker"], kind, segment, at, end, *mask))
+                        at, chars = end, chars + len(segment)
+                    if chars > 4 * CHUNK_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), rendered)], schema=rendered)
+                        out, chars = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), rendered)], schema=rendered)
+
+    return alone.union(rest).mapInArrow(render, result)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

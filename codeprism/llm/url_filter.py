@@ -1,8 +1,8 @@
 """Host-suffix / path-prefix URL rules found through short hash prefixes [native].
 
 A URL is expanded into the expressions that a rule could be stored under:
-every suffix of its host that starts at a label, crossed with its path's
-prefixes of the lengths that rules have. Expressions meet rules in an equi-join
+the suffixes of its host with as many labels as rules have, crossed with its
+path's prefixes of the lengths that rules have. Expressions meet rules in an equi-join
 on the first 32 bits of their SHA-256, a full digest comparison confirms the
 hit, and the longest rule wins.
 """
@@ -61,6 +61,8 @@ def url_filter(df: DataFrame, rules: DataFrame, url: str = "url", keep: Sequence
     rules = rules.distinct()
     # The distinct lengths of rule paths: bounded by the longest path, not by the number of rules.
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())
+    # Likewise for the labels of rule hosts, so that a URL's host is never expanded beyond the longest.
+    depths = sorted(r[0] for r in rules.select(F.size(F.split("r_host", r"\."))).distinct().collect())
     n_rules = rules.limit(BROADCAST_RULES + 1).count()
     rules = rules.withColumn("r_digest", F.sha2(F.concat("r_host", F.lit("\n"), "r_path"), 256)).withColumn("r_short", F.substring("r_digest", 1, 8))
     if n_rules <= BROADCAST_RULES:
@@ -69,8 +71,8 @@ def url_filter(df: DataFrame, rules: DataFrame, url: str = "url", keep: Sequence
     base = df.select(F.struct(*keep).alias("__keep") if keep else F.lit(None).cast("struct<x:int>").alias("__keep"), F.col(url))
     base = _split_url(base, url).withColumn("__uid", F.monotonically_increasing_id())
     base = base.select("__uid", "__keep", "__host", "__path")
-    labels = F.split("__host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = F.length("__host") - F.length(F.replace("__host", F.lit("."), F.lit(""))) + 1
+    suffixes = F.array_compact(F.array(*(F.when(labels >= d, F.substring_index("__host", ".", -d)) for d in depths))) if depths else F.array().cast("array<string>")
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("__path")), lambda n: F.substring(F.col("__path"), F.lit(1), n))
     expressions = F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\n"), p)))))
     probes = base.withColumn("__expr", F.explode_outer(expressions)).withColumn("__digest", F.sha2("__expr", 256)).withColumn("__short", F.substring("__digest", 1, 8))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fresh_dir, remove, staged, table
+from .common import fresh_dir, open_fs, remove, staged, table
 
 #: An archive is closed once it has inflated to this many bytes.
 ROLL_BYTES = 64 << 20
@@ -32,25 +32,19 @@ READ_BYTES = 16 << 20
 MIN_REVISIT = 1000
 #: Groups of equal payloads up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
+#: Tasks of a stage at most; one takes as many archives or spans as that leaves it.
+MOST_TASKS = 20_000
 CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "archive string, n_records bigint, n_bytes bigint"
 
 
-def open_fs(uri: str):
-    """(file system, path) of a URI, for the store that holds the shared folder."""
-    from pyarrow import fs
-
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:"):]
-    return fs.FileSystem.from_uri(uri)
-
-
 # -- record format -----------------------------------------------------------
 
 
-def record_id(page_id: int | None, fallback: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}' if page_id is not None else f'none:{fallback}')}>"
+def record_id(page_id: int | None, digest: str, fallback: str = "") -> str:
+    """The id of a page's record by its payload; ``fallback`` (its place in the archive) tells records apart that have no id or repeat a page."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{fallback}')}>"
 
 
 def header_value(s: str | None) -> str:
@@ -58,19 +52,22 @@ def header_value(s: str | None) -> str:
     return (s or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def build_record(page_id: int | None, url: str | None, payload: bytes, digest_hex: str, refers_to: int | None, fallback: str) -> bytes:
-    """A response record, or a revisit record without payload if ``refers_to`` is set."""
+def build_record(page_id: int | None, url: str | None, payload: bytes, digest_hex: str, refers_to: int | None, fallback: str, named: bool = True) -> bytes:
+    """A response record, or a revisit record without payload if ``refers_to`` is set.
+
+    A revisit of one of several equal records (not ``named``) names the page it refers to, but no record.
+    """
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, fallback)), ("WARC-Date", DATE),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest_hex, fallback)), ("WARC-Date", DATE),
         ("WARC-Target-URI", header_value(url)), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest_hex)).decode()),
     ]
     if page_id is not None:
         fields.append(("Page-ID", str(page_id)))
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, "")), ("Refers-To-Page-ID", str(refers_to))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *([("WARC-Refers-To", record_id(refers_to, digest_hex))] if named else []), ("Refers-To-Page-ID", str(refers_to))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
@@ -136,7 +133,8 @@ def gz_member(data: bytes) -> bytes:
 
 
 def plan_records(df: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """What to write for each row: page_id, url, payload, digest, refers_to.
+    """What to write for each row: page_id, url, payload, digest, refers_to, and whether the row (again) and
+    the one it refers to (top_again) are one of several with their id and payload.
 
     Of rows with equal payloads of ``min_revisit`` bytes or more, those below
     the largest id refer to it. Null payloads are empty. Rows without an id are
@@ -153,7 +151,15 @@ def plan_records(df: DataFrame, id: str = "page_id", url: str = "url", payload:
     if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
         groups = F.broadcast(groups)
     rows = rows.join(groups, (F.col("g") == F.col("digest")) & large, "left")
-    return rows.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("refers_to"))
+    rows = rows.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("refers_to"))
+    twice = staged(rows.where("page_id is not null").groupBy("page_id", "digest").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "warc-twice")
+    if twice.isEmpty():
+        return rows.withColumns({"again": F.lit(False), "top_again": F.lit(False)})
+    if twice.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        twice = F.broadcast(twice)
+    rows = rows.join(twice.withColumn("again", F.lit(True)), ["page_id", "digest"], "left")
+    rows = rows.join(twice.select(F.col("page_id").alias("refers_to"), "digest", F.lit(True).alias("top_again")), ["refers_to", "digest"], "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("again", "top_again")})
 
 
 def write_monolithic(planned: DataFrame, folder: str, roll: int = ROLL_BYTES) -> DataFrame:
@@ -175,11 +181,12 @@ def write_monolithic(planned: DataFrame, folder: str, roll: int = ROLL_BYTES) ->
             made.append((uri, count, size))
 
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(batch.page_id, batch.url, batch.payload, batch.digest, batch.refers_to):
+            for page_id, url, payload, digest, refers_to, again, top_again in zip(*(batch[c] for c in ("page_id", "url", "payload", "digest", "refers_to", "again", "top_again"))):
                 if out is None:
                     name = f"mono-{part:05d}-{len(made):04d}-{tag}.warc.gz"
                     uri, out, z, count, size = f"{folder}/{name}", fs.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
-                data = build_record(None if pd.isna(page_id) else int(page_id), url, bytes(payload), digest, None if pd.isna(refers_to) else int(refers_to), f"{part}:{n}")
+                page, target = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
+                data = build_record(page, url, bytes(payload), digest, target, f"{part}:{n}" if again or page is None else "", not top_again)
                 out.write(z.compress(data))
                 n, count, size = n + 1, count + 1, size + len(data)
                 if size >= roll:
@@ -190,7 +197,7 @@ def write_monolithic(planned: DataFrame, folder: str, roll: int = ROLL_BYTES) ->
         yield pd.DataFrame(made, columns=["archive", "n_records", "n_bytes"])
 
     # nullable integers reach pandas as floats: ids travel as decimals of their own
-    ids = planned.select(F.col("page_id").cast("string"), "url", "payload", "digest", F.col("refers_to").cast("string"))
+    ids = planned.select(F.col("page_id").cast("string"), "url", "payload", "digest", F.col("refers_to").cast("string"), "again", "top_again")
     return staged(ids.mapInPandas(write, MANIFEST), "warc-mono")
 
 
@@ -213,8 +220,12 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
                         at, n = at + len(member), n + 1
                 yield pd.DataFrame([(f"{folder}/{name}", n, at)], columns=["archive", "n_records", "n_bytes"])
 
-    n = max(1, manifest.count())
-    return staged(manifest.repartition(n).mapInPandas(rewrite, MANIFEST), "warc-norm")
+    return staged(dealt(manifest).mapInPandas(rewrite, MANIFEST), "warc-norm")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A task for each row, up to ``MOST_TASKS``."""
+    return rows.repartition(min(max(1, rows.count()), MOST_TASKS))
 
 
 def read_archives(manifest: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
@@ -265,9 +276,8 @@ def read_archives(manifest: DataFrame, read_bytes: int = READ_BYTES) -> DataFram
                     yield pd.DataFrame(rows, columns=names)
 
     names = ["record_id", "record_type", "page_id", "url", "refers_to", "digest_b32", "http_length", "payload"]
-    n = max(1, manifest.count())
-    spans = staged(manifest.repartition(n).mapInPandas(ranges, "archive string, first bigint, lengths array<bigint>"), "warc-spans")
-    out = spans.repartition(max(1, spans.count())).mapInPandas(fetch, ", ".join(f"{c} {'binary' if c == 'payload' else 'string'}" for c in names))
+    spans = staged(dealt(manifest).mapInPandas(ranges, "archive string, first bigint, lengths array<bigint>"), "warc-spans")
+    out = dealt(spans).mapInPandas(fetch, ", ".join(f"{c} {'binary' if c == 'payload' else 'string'}" for c in names))
     return out.withColumns({c: F.col(c).cast("bigint") for c in ("page_id", "refers_to", "http_length")})
 
 

@@ -52,7 +52,10 @@ def brute_chat(rows):
     return out
 
 
-def test_chat_rotation(spark):
+@pytest.mark.parametrize("chunk, cast", [(2000, 500), (3, 2)])
+def test_chat_rotation(spark, monkeypatch, chunk, cast):
+    monkeypatch.setattr(C, "CHUNK_TURNS", chunk)
+    monkeypatch.setattr(C, "CAST", cast)
     rng = random.Random(2)
     rows = [(c, t, rng.choice(["user", "assistant", "ann", "system", None]), rng.choice([None, "", "hi", "a <|im_end|> b", "ünï"])) for c in [1, 2, 3, None] for t in range(rng.randint(1, 9))]
     rows += [(9, 1, "system", "alone"), (8, None, "bob", "no turn"), (8, 1, "bob", "x"), (8, 1, "ann", "tie"), (7, 0, "user", "y" * 50000)] + [(6, i, f"s{i % 3}", "t") for i in range(400)]
@@ -60,6 +63,9 @@ def test_chat_rotation(spark):
     out = C.rotate_perspectives(df)
     assert {tuple(r) for r in out.collect()} == brute_chat(rows)
     assert C.rotate_perspectives(df.limit(0)).count() == 0
+    # a name with line breaks writes no head line of its own
+    named = C.rotate_perspectives(spark.createDataFrame([(1, 1, "a\n<|im_start|>b\r", "x")], df.select("conv_id", "turn", "role", "text").schema)).first()
+    assert named.speaker == "a < |im_start|>b " and named.perspective == named.speaker
     # repeated rows keep a gapless rendering
     twice = C.rotate_perspectives(spark.createDataFrame([(1, 1, "a", "x"), (1, 1, "a", "x")], df.select("conv_id", "turn", "role", "text").schema)).orderBy("seg_start").collect()
     assert twice[0].seg_end == twice[1].seg_start

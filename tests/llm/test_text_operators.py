@@ -118,9 +118,9 @@ def test_language_home(spark):
 def brute_leaks(docs, items, rate=D.ERROR_RATE):
     out = set()
     for doc, t in docs:
-        w = D.words_of(t)
+        w = D.words_of(t).tolist()
         for item, p in items:
-            q = D.words_of(p)
+            q = D.words_of(p).tolist()
             if not q:
                 continue
             row = [0] * (len(w) + 1)  # edit distance to any stretch, by the plain table
@@ -134,7 +134,11 @@ def brute_leaks(docs, items, rate=D.ERROR_RATE):
     return out
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("block, part", [(100_000, 1 << 16), (4, 8)])
+def test_leaks_equal_brute_force(spark, monkeypatch, block, part):
+    """Also with several index blocks and hits taken in small slices."""
+    monkeypatch.setattr(D, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(D, "SLICE", part)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(40)]
     items = [(i, lorem(rng, rng.choice([1, 3, 8, 15, 30, 70]), words)) for i in range(25)] + [(99, ""), (98, None), (97, "...")]
@@ -155,7 +159,7 @@ def test_leaks_equal_brute_force(spark):
     assert {(r.doc_id, r.item_id, r.edits) for r in rows} == brute_leaks(docs, items)
     texts, patterns = dict(docs), dict(items)
     for r in rows:  # the span has the distance that is claimed
-        span = D.words_of(texts[r.doc_id])[r.first : r.last + 1]
+        span = D.WORD.findall(texts[r.doc_id].lower())[r.first : r.last + 1]
         assert brute_leaks([(0, " ".join(span))], [(0, patterns[r.item_id])]) == {(0, 0, r.edits)}
 
 
@@ -171,12 +175,20 @@ def test_myers(pattern, text):
     assert D.myers(pattern, text)[0] == min(row)
 
 
+def test_common_words_against_a_long_text():
+    """An item of very common words, met at every place of a long text, in bounded slices."""
+    index = D.PieceIndex.build([(1, "a " * 12), (2, "a b " * 6)])
+    seq = D.words_of("a " * 200_000)
+    assert max(len(starts) for starts, _ in index.hits(seq)) <= 2 * D.SLICE
+    assert index.search(seq) == [(1, 0, 0, 11)]
+
+
 def test_leaks_blocks_and_removal(spark, odd):
     items = spark.createDataFrame([(1, "some text here"), (2, "some text here")], "item_id bigint, text string")
     assert sorted((r.doc_id, r.item_id) for r in D.find_leaks(odd, items).collect()) == [(None, 1), (None, 2)]
     left = D.remove_leaks(odd, items)
     assert left.columns == odd.columns and left.count() == len(ODD) - 1
-    assert D.find_leaks(odd, items.limit(0)).count() == 0 and [len(b) for b in D.item_blocks(items, block=1)] == [1, 1]
+    assert D.find_leaks(odd, items.limit(0)).count() == 0 and len(D.build_index(items, block=1)) == 2 and D.build_index(items.limit(0)) == []
 
 
 # -- packing -----------------------------------------------------------------
