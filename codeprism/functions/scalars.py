@@ -79,17 +79,21 @@ def grade(score: str | Column) -> Column:
     return F.when(s >= 90, "A").when(s >= 80, "B").when(s >= 70, "C").when(s >= 60, "D").otherwise("F")
 
 
-def version_parts(c: str | Column, width: int = 6) -> Column:
-    """A version as numbers: split at dots, leading digits only, padded with zeros."""
-    parts = F.transform(F.split(col(c), r"\."), lambda x: F.coalesce(F.regexp_extract(x, r"^\d+", 0).try_cast("bigint"), F.lit(0).cast("bigint")))
-    return F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), width)), 1, width)
+def version_parts(c: str | Column) -> Column:
+    """A version as numbers: split at dots, leading digits only."""
+    return F.transform(F.split(col(c), r"\."), lambda x: F.coalesce(F.regexp_extract(x, r"^\d+", 0).try_cast("bigint"), F.lit(0).cast("bigint")))
+
+
+def _padded(a: Column, b: Column) -> Column:
+    """``a`` with zeros up to the length of ``b``."""
+    return F.concat(a, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.size(b) - F.size(a), F.lit(0))))
 
 
 def version_in_range(version: str | Column, low: str | Column, high: str | Column) -> Column:
-    """``low <= version < high``; a low of "" or "0" is open, so is a high of ""."""
-    v = version_parts(version)
-    above = col(low).isin("", "0") | (v >= version_parts(low))
-    return above & ((col(high) == "") | (v < version_parts(high)))
+    """``low <= version < high``; a low of "" or "0" is open, so is a high of "". Missing parts are zeros."""
+    v, lo, hi = version_parts(version), version_parts(low), version_parts(high)
+    above = col(low).isin("", "0") | (_padded(v, lo) >= _padded(lo, v))
+    return above & ((col(high) == "") | (_padded(v, hi) < _padded(hi, v)))
 
 
 def window_digest(tokens: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import builtins
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..parse import tables as T
+from .findings import suppress
+from .graph import kept
 from .line_rules import near, numbered_lines
 from .prompt_safety import any_of
 
@@ -15,6 +15,12 @@ GO_PACKAGES = (
     "fmt", "os", "io", "net", "http", "json", "log", "sync", "context", "time", "strings", "strconv", "bytes", "errors", "path", "filepath", "bufio", "crypto", "encoding", "reflect",
     "testing", "regexp", "sort", "math", "database", "sql", "html", "template", "flag",
 )
+PYTHON_BUILTINS = (
+    "print", "len", "range", "int", "str", "float", "list", "dict", "set", "tuple", "bool", "type", "isinstance", "issubclass", "hasattr", "getattr", "setattr", "delattr", "open", "input",
+    "super", "map", "filter", "zip", "enumerate", "sorted", "reversed", "min", "max", "sum", "abs", "round", "any", "all", "next", "iter", "hash", "id", "repr", "format", "chr", "ord",
+    "hex", "oct", "bin", "pow", "divmod", "complex", "bytes", "bytearray", "memoryview", "object", "staticmethod", "classmethod", "property", "Exception", "ValueError", "TypeError",
+    "KeyError", "IndexError", "AttributeError", "RuntimeError", "OSError", "IOError", "FileNotFoundError", "NotImplementedError", "StopIteration", "True", "False", "None",
+)
 COMMON_METHODS = (
     "append", "extend", "insert", "remove", "pop", "clear", "copy", "get", "keys", "values", "items", "update", "join", "split", "strip", "lower", "upper", "replace", "find", "startswith",
     "endswith", "encode", "decode", "read", "write", "close", "flush", "Error", "String", "Len", "Close", "Read", "Write", "self", "cls",
@@ -40,7 +46,7 @@ def phantom_calls(parsed: DataFrame, lines: DataFrame) -> DataFrame:
     symbols, imports, refs = T.symbols(parsed), T.imports(parsed), T.refs(parsed)
     local = F.concat(F.array("alias"), F.array(F.element_at(F.split("import_path", r"[./]"), -1)), F.coalesce("names", F.array().cast("array<string>")))
     known = symbols.select("name").union(imports.select(F.explode(local).alias("name"))).where("name is not null").distinct()
-    fixed = [*GO_PACKAGES, *COMMON_METHODS, *dir(builtins)]
+    fixed = [*GO_PACKAGES, *COMMON_METHODS, *PYTHON_BUILTINS]
     names = refs.where((F.length("name") > 1) & ~F.col("name").isin(fixed)).select("file", "language", "name").distinct().join(known, "name", "left_anti")
     code = lines.where(~F.trim("line").rlike(r"^(#|//)"))
     # each place where a name stands before a bracket, outside of strings on its line
@@ -67,10 +73,10 @@ def stubs(parsed: DataFrame, lines: DataFrame) -> DataFrame:
     return _rows(functions.join(real, ["file", "name", "start_line"], "left_anti"), "unfinished-stub", "warning", 0.9, "start_line", F.col("name"))
 
 
-def ai_quality(files: DataFrame) -> DataFrame:
-    """All findings over Go and Python files (and manifests): rule_id, file, start_line, detail, severity, confidence."""
+def ai_quality(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """All findings over Go and Python files (and manifests) that no comment suppresses: rule_id, file, start_line, detail, severity, confidence."""
     code = files.where(F.col("language").isin("go", "python"))
-    parsed = T.parse_files(code)
+    parsed = kept(T.parse_files(code)) if parsed is None else parsed.where(F.col("language").isin("go", "python"))
     lines = numbered_lines(code).withColumnsRenamed({"path": "file", "line_no": "n"})
     lines = lines.join(code.select(F.col("path").alias("file"), "language"), "file")
     t, low = F.trim("line"), F.lower(F.trim("line"))
@@ -111,4 +117,5 @@ def ai_quality(files: DataFrame) -> DataFrame:
 
     c = F.col("content")
     mixed = (go & c.contains("if err != nil") & (c.contains("panic(") | c.contains("log.Fatal"))) | (python & c.contains("try:") & c.rlike(r"(?m)^\s*except:( |\s*$)") & c.rlike(r"(?m)^\s*except .*:\s*$"))
-    return out.unionByName(_rows(code.where(mixed).withColumn("file", F.col("path")), "inconsistent-error-handling", "info", 0.6, F.lit(1)))
+    out = out.unionByName(_rows(code.where(mixed).withColumn("file", F.col("path")), "inconsistent-error-handling", "info", 0.6, F.lit(1)))
+    return suppress(out, T.suppressions(code))

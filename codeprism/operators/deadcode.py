@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..parse import tables as T
+from ..schema import ACTIONS
 from . import graph
 from .findings import stale_suppressions, suppress
 
@@ -25,14 +26,16 @@ def alive_symbols(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """(file, name) that entry points reach.
 
     A file with an alive symbol makes every name alive that it refers to, so
-    reachability runs over files: A leads to B if A refers to a name of B.
+    reachability runs over files: A leads to B if A refers to a name of B. Files
+    and names are both nodes, so the edges are as many as references and
+    definitions, however many files share a name.
     """
     uses = refs.select("file", "name").distinct()
-    defines = symbols.select(F.col("file").alias("target"), "name").distinct()
-    edges = uses.join(defines, "name").select(F.col("file").alias("a"), F.col("target").alias("b"))
+    file, name = F.concat(F.lit("f:"), "file"), F.concat(F.lit("n:"), "name")
+    edges = uses.select(file.alias("a"), name.alias("b")).union(symbols.select(name.alias("a"), file.alias("b")))
     seeds = symbols.where(entry_point())
-    files = graph.reachable(edges, seeds.select(F.col("file").alias("node"))).select(F.col("node").alias("file"))
-    used = uses.join(files, "file", "left_semi").select("name").distinct()
+    nodes = graph.reachable(edges, seeds.select(file.alias("node")))
+    used = nodes.where(F.col("node").startswith("n:")).select(F.substring("node", 3, 2_000_000_000).alias("name"))
     return symbols.join(used, "name", "left_semi").select("file", "name").union(seeds.select("file", "name")).distinct()
 
 
@@ -60,14 +63,16 @@ def unused_files(symbols: DataFrame, dead: DataFrame) -> DataFrame:
     return marked.groupBy("file").agg(F.bool_and(F.col("dead").isNotNull()).alias("all")).where(F.col("all") & ~entry_file(F.col("file"))).select("file")
 
 
-def dead_code(files: DataFrame, marker: str = T.MARKER, strict_stale: bool = True) -> DataFrame:
-    """Findings: rule_id, file, start_line, end_line, name, severity, confidence.
+def dead_code(files: DataFrame, marker: str = T.MARKER, strict_stale: bool = True, parsed: DataFrame | None = None) -> DataFrame:
+    """Findings: rule_id, file, start_line, end_line, name, severity, confidence, actions.
+
+    What is unused by itself can be removed: an action with one edit over its lines.
 
     ``strict_stale`` calls a suppression stale if nothing is found near it after
     suppression, so one that works is reported too; otherwise only one that
     fits nothing found before suppression.
     """
-    parsed = graph.kept(T.parse_files(files))
+    parsed = graph.kept(T.parse_files(files)) if parsed is None else parsed
     symbols, refs, supp = T.symbols(parsed), T.refs(parsed), T.suppressions(files, marker)
     dead = graph.kept(dead_symbols(symbols, refs))
     row = lambda df, rule, start, end, name, severity, confidence: df.select(rule.alias("rule_id"), "file", start.alias("start_line"), end.alias("end_line"), name.alias("name"), F.lit(severity).alias("severity"), confidence.cast("float").alias("confidence"))
@@ -77,4 +82,7 @@ def dead_code(files: DataFrame, marker: str = T.MARKER, strict_stale: bool = Tru
     raw = raw.unionByName(row(unused_files(symbols, dead), F.lit("unused-file"), one, one, F.col("file"), "info", F.lit(0.8)))
     kept = suppress(raw, supp)
     stale = stale_suppressions(supp, kept if strict_stale else raw)
-    return kept.unionByName(row(stale, F.lit("stale-suppression"), F.col("line"), F.col("line"), F.col("text"), "info", F.lit(1.0)))
+    out = kept.unionByName(row(stale, F.lit("stale-suppression"), F.col("line"), F.col("line"), F.col("text"), "info", F.lit(1.0)))
+    edit = F.array(F.struct("file", "start_line", "end_line", F.lit("").alias("new_text")))
+    remove = F.array(F.struct(F.concat(F.lit("remove "), "name").alias("description"), F.lit(True).alias("auto_fixable"), edit.alias("edits")))
+    return out.withColumn("actions", F.when(F.col("rule_id").isin("unused-function", "unused-type", "unused-import"), remove).otherwise(F.array().cast(ACTIONS)))

@@ -34,6 +34,33 @@ def audit(current: DataFrame, baseline: DataFrame, new_only: bool = True, warn:
     return one.withColumn("verdict", verdict("new_count" if new_only else "total", warn, fail)).drop("before")
 
 
+def gate_mode(name: str | None) -> bool:
+    """Whether a gate counts new findings only (``new-only`` and its short forms) or ``all``; another name is the former."""
+    return (name or "").lower().replace("_", "-") != "all"
+
+
+def audit_findings(current: DataFrame, baseline: DataFrame, new_only: bool = True, warn: int = 1, fail: int = 5, path: str = "baseline.json") -> DataFrame:
+    """new-finding for each finding that the baseline hasn't, score-regression if there are more, threshold-exceeded if the gate fails.
+
+    ``current`` and ``baseline``: rule_id, file, start_line, message. The last
+    two stand at the baseline's ``path``.
+    """
+    text = lambda c: F.col(c).cast("string")
+    new = new_findings(current, baseline)
+    out = new.select(
+        F.lit("new-finding").alias("rule_id"), "file", "start_line", F.concat(F.lit("new issue: "), "rule_id", F.lit(" in "), "file", F.lit(" at line "), text("start_line")).alias("message"),
+        F.lit("warning").alias("severity"), F.create_map(F.lit("original_rule"), F.col("rule_id")).alias("metadata"),
+    )
+    one = audit(current, baseline, new_only, warn, fail).withColumn("before", F.col("total") - F.col("score_delta")).withColumn("relevant", F.col("new_count" if new_only else "total"))
+    whole = lambda where, rule, message, severity, metadata: one.where(where).select(
+        F.lit(rule).alias("rule_id"), F.lit(path).alias("file"), F.lit(1).alias("start_line"), message.alias("message"), F.lit(severity).alias("severity"), metadata.cast("map<string, string>").alias("metadata")
+    )
+    grown = F.concat(F.lit("finding count increased by "), text("score_delta"), F.lit(" (baseline: "), text("before"), F.lit(", current: "), text("total"), F.lit(")"))
+    out = out.unionByName(whole("score_delta > 0", "score-regression", grown, "warning", F.create_map()))
+    over = F.concat(F.lit("audit verdict: FAIL ("), text("relevant"), F.lit(f" relevant findings exceed threshold {fail})"))
+    return out.unionByName(whole("verdict = 'fail'", "threshold-exceeded", over, "error", F.create_map(F.lit("verdict"), F.lit("FAIL"))))
+
+
 def churn(current: DataFrame, previous: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """One row of set counts: new, resolved, unchanged, rate = new / (new + unchanged) or 0.
 

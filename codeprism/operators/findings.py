@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import glob_regex, severity_rank, strip_suffix_runs
+from .graph import kept, strong_components
+
+#: Pairs of an import path and a file that containment may compare.
+MOST_COMPARED = 100_000_000
 
 
 def module_of(rule: str | Column) -> Column:
@@ -16,6 +20,44 @@ def visible(findings: DataFrame, severities: list[str], hidden_modules: list[str
     return findings.where(F.col("severity").isin(severities) & ~module_of("rule_id").isin(hidden_modules))
 
 
+def by_rule(findings: DataFrame, rule: str) -> DataFrame:
+    """Findings of one rule, by its bare name or as ``module:rule``."""
+    module, _, name = rule.rpartition(":")
+    bare = F.element_at(F.split("rule_id", ":"), -1)
+    fits = bare == name
+    if module:
+        own = F.col("module_id") if "module_id" in findings.columns else module_of("rule_id")
+        fits = fits & (own == module)
+    return findings.where(fits)
+
+
+def severity_counts(findings: DataFrame, keys: list[str | Column]) -> DataFrame:
+    """Errors, warnings and infos by key."""
+    by = lambda s: F.count_if(F.col("severity") == s)
+    return findings.groupBy(*keys).agg(by("error").alias("errors"), by("warning").alias("warnings"), by("info").alias("infos"))
+
+
+#: Categories of security findings by rule.
+CATEGORIES = {
+    "sast": ("sql-injection", "command-injection", "xss", "ssrf", "path-traversal", "unsafe-deserialization"),
+    "secret": ("hardcoded-secret", "high-entropy-string"), "dependency": ("vulnerable-dependency",),
+}
+
+
+def security_counters(findings: DataFrame) -> DataFrame:
+    """One row: findings of each security category, and all."""
+    return findings.agg(*(F.count_if(F.col("rule_id").isin(*rules)).alias(f"{c}_findings") for c, rules in CATEGORIES.items()), F.count("*").alias("total_findings"))
+
+
+def rule_index(findings: DataFrame, order: str) -> DataFrame:
+    """Distinct rules with their number of findings, the first ``order`` they have, and their index by it.
+
+    A row per rule, so that a global order is small.
+    """
+    per = findings.groupBy("rule_id").agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
+    return per.withColumn("rule_index", (F.dense_rank().over(W.orderBy("first_seen")) - 1).cast("bigint"))
+
+
 def groupings(findings: DataFrame) -> DataFrame:
     """Counts by file, by rule and by severity in one pass: mode, key, n, errors."""
     sets = findings.groupingSets([["file"], ["rule_id"], ["severity"]], "file", "rule_id", "severity").agg(
@@ -70,27 +112,31 @@ def boundary_violations(edges: DataFrame, rules: list[tuple[str, str, bool]]) ->
 PRESETS = {
     "layered": {
         "zones": [
-            ("presentation", "presentation api handler handlers controller controllers cmd ui"),
-            ("application", "application service services usecase usecases"),
-            ("domain", "domain model models entity entities core"),
-            ("infrastructure", "infrastructure infra db repository repositories adapter adapters external"),
+            ("presentation", ("presentation", "api", "handler", "handlers", "controller", "controllers", "cmd", "ui")),
+            ("application", ("application", "service", "services", "usecase", "usecases")),
+            ("domain", ("domain", "model", "models", "entity", "entities", "core")),
+            ("infrastructure", ("infrastructure", "infra", "db", "repository", "repositories", "adapter", "adapters", "external")),
         ],
         "deny": [("domain", "infrastructure"), ("domain", "presentation"), ("domain", "application"), ("application", "presentation"), ("infrastructure", "presentation"), ("presentation", "infrastructure")],
     },
     "hexagonal": {
-        "zones": [("core", "core domain model models"), ("ports", "port ports interface interfaces"), ("adapters", "adapter adapters infrastructure infra driven driving")],
+        "zones": [
+            ("core", ("core", "domain", "model", "models")),
+            ("ports", ("port", "ports", "interface", "interfaces")),
+            ("adapters", ("adapter", "adapters", "infrastructure", "infra", "driven", "driving")),
+        ],
         "deny": [("core", "adapters"), ("ports", "adapters")],
     },
     "feature-sliced": {
-        "zones": [("app", "app"), ("features", "features feature modules"), ("shared", "shared common lib pkg")],
+        "zones": [("app", ("app",)), ("features", ("features", "feature", "modules")), ("shared", ("shared", "common", "lib", "pkg"))],
         "deny": [("shared", "features"), ("shared", "app")],
     },
     "clean": {
         "zones": [
-            ("entities", "entity entities domain model models"),
-            ("usecases", "usecase usecases use_case application service services"),
-            ("adapters", "adapter adapters controller controllers presenter presenters gateway gateways"),
-            ("frameworks", "framework frameworks infrastructure infra db web external"),
+            ("entities", ("entity", "entities", "domain", "model", "models")),
+            ("usecases", ("usecase", "usecases", "use_case", "application", "service", "services")),
+            ("adapters", ("adapter", "adapters", "controller", "controllers", "presenter", "presenters", "gateway", "gateways")),
+            ("frameworks", ("framework", "frameworks", "infrastructure", "infra", "db", "web", "external")),
         ],
         "deny": [("entities", "usecases"), ("entities", "adapters"), ("entities", "frameworks"), ("usecases", "adapters"), ("usecases", "frameworks"), ("adapters", "frameworks")],
     },
@@ -101,11 +147,54 @@ ALIASES = {"layers": "layered", "hex": "hexagonal", "ports-and-adapters": "hexag
 def preset(name: str) -> tuple[list[tuple[str, str]], list[tuple[str, str, bool]]]:
     """(zones, rules) of a preset, for :func:`zones_of` and :func:`allowed`."""
     found = PRESETS[ALIASES.get(name, name)]
-    return [(zone, f"{folder}/**") for zone, folders in found["zones"] for folder in folders.split()], [(a, b, False) for a, b in found["deny"]]
+    return [(zone, f"{folder}/**") for zone, folders in found["zones"] for folder in folders], [(a, b, False) for a, b in found["deny"]]
+
+
+def arch_config(config: dict[str, str] | None) -> tuple[list[tuple[str, str]], list[tuple[str, str, bool]]]:
+    """(zones, rules) of a module's settings: ``preset``, or ``zone.<name>`` (patterns by comma), ``deny.<from>.<to>`` and ``allow.<from>.<to>``.
+
+    Without a zone, and for a preset that isn't known, the layered preset.
+    Zones and rules come in the order of the settings.
+    """
+    config = config or {}
+    if "preset" in config:
+        name = config["preset"]
+        return preset(name if ALIASES.get(name, name) in PRESETS else "layered")
+    zones = [(k[5:], p.strip()) for k, v in config.items() if k.startswith("zone.") for p in v.split(",")]
+    rules = [(*x, kind == "allow") for k in config for kind, _, spec in [k.partition(".")] if kind in ("deny", "allow") and len(x := tuple(spec.split(".", 1))) == 2]
+    return (zones, rules) if zones else preset("layered")
+
+
+def architecture(files: DataFrame, imports: DataFrame, config: dict[str, str] | None = None, fixed: bool = True) -> DataFrame:
+    """boundary-violation and circular-dependency findings.
+
+    A violation for each import of a file (file, import_path, line) and target
+    whose zones differ and may not depend; a cycle for each strongly connected
+    component of the files' imports, its members in order.
+    """
+    zones, rules = arch_config(config)
+    edges = kept(import_edges(files, imports, fixed, each=True))
+    zoned = zones_of(files.select("path").distinct(), zones).where("zone is not null")
+    a = zoned.select(F.col("path").alias("file"), F.col("zone").alias("from_zone"))
+    b = zoned.select(F.col("path").alias("target"), F.col("zone").alias("to_zone"))
+    bad = boundary_violations(edges.join(a, "file").join(b, "target"), rules)
+    text = F.concat(F.lit("zone `"), "from_zone", F.lit("` imports from zone `"), "to_zone", F.lit("` via `"), "import_path", F.lit("` (forbidden by architecture rules)"))
+    out = bad.select(
+        F.lit("boundary-violation").alias("rule_id"), "file", F.col("line").alias("start_line"), text.alias("message"), F.lit("error").alias("severity"),
+        F.create_map(F.lit("from_zone"), "from_zone", F.lit("to_zone"), "to_zone", F.lit("import_path"), "import_path").alias("metadata"),
+    )
+    cycles = strong_components(edges.select(F.col("file").alias("a"), F.col("target").alias("b")))
+    cycles = cycles.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("files")).withColumn("listed", F.array_join("files", " -> "))
+    size = F.size("files").cast("string")
+    return out.unionByName(cycles.select(
+        F.lit("circular-dependency").alias("rule_id"), F.element_at("files", 1).alias("file"), F.lit(1).alias("start_line"),
+        F.concat(F.lit("circular dependency detected ("), size, F.lit(" files): "), "listed").alias("message"), F.lit("warning").alias("severity"),
+        F.create_map(F.lit("cycle_length"), size, F.lit("cycle_files"), F.col("listed")).alias("metadata"),
+    ))
 
 
-def import_edges(files: DataFrame, imports: DataFrame, fixed: bool = True) -> DataFrame:
-    """Edges file -> target from import paths.
+def import_edges(files: DataFrame, imports: DataFrame, fixed: bool = True, each: bool = False) -> DataFrame:
+    """Edges file -> target from import paths; with ``each`` one for each import, with its path and line.
 
     ``files``: path; ``imports``: file, import_path. ``fixed`` resolves an
     import to files whose package folder or dotted module ends with it, by an
@@ -113,17 +202,21 @@ def import_edges(files: DataFrame, imports: DataFrame, fixed: bool = True) -> Da
     the import path, or whose path without extension is held by it (a join
     over distinct paths with a contains condition, for parity on small trees).
     """
+    columns = ["file", "target", *(["import_path", "line"] if each else [])]
     stem = strip_suffix_runs("path", ".go", ".py", ".ts", ".tsx", ".js", ".jsx", ".java", ".rs")
     if not fixed:
+        # every import path is held against every file: for trees that are small enough
+        if imports.select("import_path").distinct().count() * files.count() > MOST_COMPARED:
+            raise ValueError("the tree is too large to resolve imports by containment; leave fixed on")
         targets = files.select(F.col("path").alias("target"), stem.alias("stem")).distinct()
         paths = imports.select("import_path").distinct()
         pairs = paths.join(targets, F.contains("target", "import_path") | F.contains("import_path", "stem"))
-        return imports.join(pairs, "import_path").where("file <> target").select("file", "target").distinct()
+        return imports.join(pairs, "import_path").where("file <> target").select(*columns).distinct()
     parts = F.split(F.regexp_replace("import_path", r"[.:]{1,2}(?=\w)", "/"), "/")
-    wanted = imports.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix"))
+    wanted = imports.select("file", *columns[2:], F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix"))
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     targets = files.select(F.col("path").alias("target"), F.explode(F.array(folder, stem)).alias("suffix")).where("suffix <> ''").distinct()
-    return wanted.join(targets, "suffix").where("file <> target").select("file", "target").distinct()
+    return wanted.join(targets, "suffix").where("file <> target").select(*columns).distinct()
 
 
 # -- telemetry ---------------------------------------------------------------

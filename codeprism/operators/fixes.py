@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .findings import edit_conflicts
+from .findings import by_rule, edit_conflicts
 
 #: Modules whose findings can be fixed, refuse, or have nothing to fix.
 POLICY = {
@@ -14,6 +14,17 @@ POLICY = {
 }
 
 
+def fixable(findings: DataFrame, rule: str | None = None) -> DataFrame:
+    """Findings (module_id, ...) of modules that apply fixes, of one rule if it is named."""
+    out = findings.where(F.col("module_id").isin(*(m for m, p in POLICY.items() if p == "apply")))
+    return out if rule is None else by_rule(out, rule)
+
+
+def refused(findings: DataFrame) -> DataFrame:
+    """module_id, n: findings of modules that refuse to fix theirs."""
+    return findings.where(F.col("module_id").isin(*(m for m, p in POLICY.items() if p == "refuse"))).groupBy("module_id").agg(F.count("*").alias("n"))
+
+
 def planned_edits(findings: DataFrame) -> DataFrame:
     """A row per edit of each auto-fixable action: id, finding, file, start_line, end_line, new_text.
 

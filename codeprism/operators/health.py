@@ -41,6 +41,19 @@ def hotspots(commits: DataFrame, metrics: DataFrame, warn: float = 20, refactor:
     return out.withColumn("rule_id", F.when(F.col("hotspot_score") >= refactor, "refactoring-target").when(F.col("hotspot_score") >= warn, "hotspot"))
 
 
+def hotspot_findings(spots: DataFrame) -> DataFrame:
+    """Findings of the files that :func:`hotspots` gives a rule, highest score first in their message and metadata."""
+    one = lambda c: F.format_string("%.1f", c)
+    target = F.col("rule_id") == "refactoring-target"
+    kind = F.when(target, "refactoring target").otherwise("hotspot")
+    figures = (F.lit("hotspot_score"), one("hotspot_score"), F.lit("commit_count"), F.col("commits").cast("string"), F.lit("avg_cyclomatic"), one("avg_cyclomatic"))
+    message = F.concat(F.lit("file `"), "file", F.lit("` is a "), kind, F.lit(" (score: "), figures[1], F.lit(", commits: "), figures[3], F.lit(", avg cyclomatic: "), figures[5], F.lit(")"))
+    return spots.where("rule_id is not null").select(
+        "rule_id", "file", F.lit(1).alias("start_line"), message.alias("message"), F.when(target, "error").otherwise("warning").alias("severity"),
+        F.when(target, 0.9).otherwise(0.8).cast("float").alias("confidence"), F.create_map(*figures).alias("metadata"),
+    )
+
+
 def complexity_findings(metrics: DataFrame, files: DataFrame, max_cyclomatic: int = 20, max_cognitive: int = 15, min_score: int = 70) -> DataFrame:
     """high-cyclomatic, high-cognitive and low-health-score findings: rule_id, file, start_line, value."""
     functions = metrics.select(F.explode(F.array(

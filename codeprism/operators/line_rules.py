@@ -49,13 +49,26 @@ def secret_kind(line: str | Column) -> Column:
 def secrets(lines: DataFrame, path: str | None = None) -> DataFrame:
     """Lines with a credential and its kind; files under test paths are left out if ``path`` is given."""
     kept = lines.where(~F.col(path).rlike(TEST_PATHS)) if path else lines
+    # one pass over all patterns first, each on its own only on the few lines that pass
+    kept = kept.where(F.col("line").rlike("|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for _, p in SECRETS)))
     return kept.withColumn("kind", secret_kind("line")).where("kind is not null")
 
 
+#: Personal data: mail addresses, IPv4 addresses, long digit runs.
+MAIL, ADDRESS, DIGITS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", r"[0-9]{13,19}"
+
+
+def personal_data(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, line_no, has_mail, has_ip, has_digits of lines that hold any."""
+    hit = F.col("line").rlike
+    found = lines.where(hit(f"{MAIL}|{ADDRESS}|{DIGITS}"))
+    return found.select(key, "line_no", hit(MAIL).alias("has_mail"), hit(ADDRESS).alias("has_ip"), hit(DIGITS).alias("has_digits"))
+
+
 def high_entropy(tokens: DataFrame, token: str = "token", least: float = 4.5) -> DataFrame:
-    """Tokens of 16 to 256 characters with that many bits a character or more; URLs, paths and format strings left out."""
+    """Tokens of 16 to 256 characters with that many bits a character or more; URLs, paths, format strings, statements of SQL and sentences left out."""
     c = F.col(token)
-    odd = c.rlike(r"^[a-z]+://|^[./~]|/.*/|%[sdv]|\{\}|\s")
+    odd = c.rlike(r"(?i)^(?:select|insert|update|delete|create|alter|drop)\b") | c.rlike(r"^[a-z]+://|^[./~]|/.*/|%[sdv]|\{\}|\s")
     return tokens.where(F.length(c).between(16, 256) & ~odd).withColumn("entropy", shannon_entropy(c)).where(F.col("entropy") >= least)
 
 

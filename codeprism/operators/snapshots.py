@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import glob_regex
+from .diffs import compare_metrics
 
 
 def snapshot(findings: DataFrame, label: str, files_analysed: int, health_score: float | None = None, counters: dict[str, float] | None = None) -> DataFrame:
@@ -18,13 +19,24 @@ def snapshot(findings: DataFrame, label: str, files_analysed: int, health_score:
 
 def trust_boundary(files: DataFrame, patterns: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple[str, str]]]:
     """(path, grp) of files that a group's pattern fits, and the patterns that fit nothing, which a policy must not have."""
-    out, unused = None, []
-    for group, pattern in patterns:
-        part = files.where(F.col("path").rlike(glob_regex(pattern))).select("path", F.lit(group).alias("grp"))
-        if part.isEmpty():
-            unused.append((group, pattern))
-        out = part if out is None else out.unionByName(part)
-    return (files.select("path", F.lit("").alias("grp")).limit(0) if out is None else out.distinct()), unused
+    if not patterns:
+        return files.select("path", F.lit("").alias("grp")).limit(0), []
+    # all patterns in one pass
+    fits = F.array(*(F.when(F.col("path").rlike(glob_regex(p)), F.struct(F.lit(g).alias("grp"), F.lit(k).alias("k"))) for k, (g, p) in enumerate(patterns)))
+    held = files.select("path", F.explode(F.array_compact(fits)).alias("x"))
+    used = {r["k"] for r in held.select("x.k").distinct().collect()}  # a number for each pattern at most
+    return held.select("path", "x.grp").distinct(), [x for k, x in enumerate(patterns) if k not in used]
+
+
+def eligible(lcov: DataFrame, tracked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """LCOV lines of tracked files (path), and the paths that aren't tracked."""
+    return lcov.join(tracked.select("path").distinct(), "path", "left_semi"), lcov.select("path").distinct().join(tracked.select("path"), "path", "left_anti")
+
+
+def trend(before: DataFrame, after: DataFrame, higher_better: tuple[str, ...] = ("health_score",)) -> DataFrame:
+    """Two snapshots (name, value) as a table: metric, baseline, current, delta with its sign, direction."""
+    out = compare_metrics(before, after, higher_better)
+    return out.select(F.col("name").alias("metric"), "baseline", "current", F.format_string("%+.1f", "delta").alias("delta"), "direction")
 
 
 def boundary_gate(per_path: DataFrame, members: DataFrame, least: float = 100.0) -> DataFrame:

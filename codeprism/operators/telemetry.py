@@ -2,9 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 DEFINITIONS = "name string, kind string, description string, unit string"
+POINTS = "name string, value double, labels map<string, string>"
+#: The metrics that the engine itself records (name, kind, description, unit).
+CORE = (
+    ("analysis.duration_ms", "histogram", "Total analysis duration", "ms"), ("analysis.files_total", "counter", "Total files analyzed", "count"),
+    ("analysis.findings_total", "counter", "Total findings per module", "count"), ("analysis.findings_by_severity", "counter", "Findings per module and severity", "count"),
+    ("module.call_duration_ms", "histogram", "Per-module call duration", "ms"), ("module.error_total", "counter", "Per-module error count", "count"),
+    ("findings.new", "counter", "Findings not in previous run", "count"), ("findings.resolved", "counter", "Findings in previous run but not current", "count"),
+    ("findings.unchanged", "counter", "Findings present in both runs", "count"), ("findings.churn_rate", "gauge", "Churn rate: new / (new + unchanged)", "ratio"),
+    ("module.load_error_total", "counter", "Module load failures by module_id and error_type", "count"), ("config.parse_error_total", "counter", "Config parse failures", "count"),
+    ("plugin.connect_error_total", "counter", "External module connection failures", "count"), ("module.startup_duration_ms", "histogram", "Per-module initialization time", "ms"),
+    ("startup.total_duration_ms", "gauge", "Total time from process start to all modules ready", "ms"),
+)
+
+
+def definitions(spark: SparkSession) -> DataFrame:
+    """The core metrics: name, kind, description, unit."""
+    return spark.createDataFrame(list(CORE), DEFINITIONS)
+
+
+def _points(df: DataFrame, name: str, value: Column | str, **labels: str) -> DataFrame:
+    pairs = [x for k, c in labels.items() for x in (F.lit(k), F.col(c).cast("string"))]
+    held = F.create_map(*pairs) if pairs else F.create_map().cast("map<string, string>")
+    return df.select(F.lit(name).alias("name"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("value"), held.alias("labels"))
+
+
+def call_points(calls: DataFrame) -> DataFrame:
+    """Points of module calls (module_id, duration_ms, had_error): each one's duration, and errors by module."""
+    errors = calls.where("had_error").groupBy("module_id").agg(F.count("*").alias("n"))
+    return _points(calls, "module.call_duration_ms", "duration_ms", module_id="module_id").unionByName(_points(errors, "module.error_total", "n", module_id="module_id"))
+
+
+def finding_points(findings: DataFrame) -> DataFrame:
+    """Points of findings (module_id, severity): totals by module, and by module and severity."""
+    total = findings.groupBy("module_id").agg(F.count("*").alias("n"))
+    each = findings.groupBy("module_id", "severity").agg(F.count("*").alias("n"))
+    return _points(total, "analysis.findings_total", "n", module_id="module_id").unionByName(_points(each, "analysis.findings_by_severity", "n", module_id="module_id", severity="severity"))
+
+
+def load_points(loads: DataFrame) -> DataFrame:
+    """Points of module loads (module_id, duration_ms, error_type, null if it worked): startup times, errors, their sum."""
+    errors = loads.where("error_type is not null").groupBy("module_id", "error_type").agg(F.count("*").alias("n"))
+    out = _points(loads.where("error_type is null"), "module.startup_duration_ms", "duration_ms", module_id="module_id")
+    out = out.unionByName(_points(errors, "module.load_error_total", "n", module_id="module_id", error_type="error_type"))
+    return out.unionByName(_points(loads.agg(F.sum("duration_ms").alias("all")).where("all is not null"), "startup.total_duration_ms", "all"))
+
+
+def churn_points(churn: DataFrame) -> DataFrame:
+    """Points of a run's churn (new, resolved, unchanged, rate)."""
+    out = None
+    for name, column in (("findings.new", "new"), ("findings.resolved", "resolved"), ("findings.unchanged", "unchanged"), ("findings.churn_rate", "rate")):
+        part = _points(churn, name, column)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def module_metrics(points: DataFrame) -> DataFrame:
+    """Own metrics of modules, ``module.<id>.<key>``: module_id, key and the last value by sequence number."""
+    id, key = (F.regexp_extract("name", r"^module\.([^.]+)\.(.+)$", k) for k in (1, 2))
+    return points.where(F.col("name").rlike(r"^module\.[^.]+\..+$")).groupBy(id.alias("module_id"), key.alias("key")).agg(F.max_by("value", "seq").alias("value"))
+
+
+def module_summary(modules: DataFrame, calls: DataFrame, findings: DataFrame) -> DataFrame:
+    """Each module (module_id) with its last duration, calls, errors and findings; 0 where it has none."""
+    found = findings.groupBy("module_id").agg(F.count("*").alias("findings"))
+    out = modules.select("module_id").join(module_durations(calls), "module_id", "left").join(found, "module_id", "left")
+    return out.select("module_id", *(F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("last_duration_ms", "calls", "errors", "findings")))
+
+
+def overview(modules: DataFrame) -> DataFrame:
+    """One row over modules (health, files_analyzed, findings): mean health of those that have one, most files, all findings."""
+    return modules.agg(F.avg("health").alias("average_health"), F.max("files_analyzed").alias("files_analyzed"), F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"))
+
+
+def hit_rate(rows: DataFrame, hit: Column, miss: Column) -> DataFrame:
+    """One row: hits, misses and hits over both, 0 without any."""
+    one = rows.agg(F.count_if(hit).alias("hits"), F.count_if(miss).alias("misses"))
+    total = F.col("hits") + F.col("misses")
+    return one.withColumn("hit_rate", F.when(total > 0, F.col("hits") / total).otherwise(F.lit(0.0)))
+
+
+def sum_by(points: DataFrame, label: str, selector: str, value: str = "value") -> DataFrame:
+    """The sum of a metric by a label whose whole value fits the selector, and its points; sums are exact to a hundredth."""
+    total = F.round(F.sum(F.col(value).cast("decimal(18,2)")).cast("double"), 2)
+    return points.where(F.col(label).rlike(f"^(?:{selector})$")).groupBy(label).agg(total.alias("total"), F.count("*").alias("points"))
+
+
+def telemetry_findings(spark: SparkSession, backends: DataFrame, points: DataFrame, audience: str = "on") -> DataFrame:
+    """backend-status for each backend (name, enabled) that operators see, and a metric-summary for each metric."""
+    out = points.groupBy("name").agg(F.count("*").alias("n")).select(
+        F.lit("metric-summary").alias("rule_id"), F.lit("").alias("file"), F.lit(0).alias("start_line"),
+        F.concat(F.lit("metric "), "name", F.lit(": "), F.col("n").cast("string"), F.lit(" points")).alias("message"), F.lit("info").alias("severity"),
+    )
+    if audience not in ("on", "operator-only"):
+        return out
+    status = F.when(F.col("enabled"), "enabled").otherwise("disabled")
+    return out.unionByName(backends.select(
+        F.lit("backend-status").alias("rule_id"), F.lit("").alias("file"), F.lit(0).alias("start_line"), F.concat(F.lit("backend "), "name", F.lit(": "), status).alias("message"), F.lit("info").alias("severity")
+    ))
 
 
 def snapshot(points: DataFrame) -> DataFrame:

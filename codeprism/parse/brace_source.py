@@ -136,7 +136,7 @@ def parse_go(source: str) -> Parsed:
                     out.symbols.append((text(k), "type", tokens[k].line, last, text(k)[:1].isupper()))
             i = end
         i += 1
-    words = set(KEYWORDS["go"].split())
+    words = set(KEYWORDS["go"])
     out.refs = [(t.text, t.line) for k, t in enumerate(tokens) if t.kind == "name" and k not in skip and t.text not in words]
     for k, t in enumerate(tokens):  # function literals
         if t.text == "func" and text(k + 1) == "(" and (body := _block(tokens, pairs, pairs[k + 1] + 1, n)) is not None and not any(s[0] == t.line for s in out.spans):
@@ -170,7 +170,7 @@ def parse_script(source: str, exported: bool = True) -> Parsed:
             out.symbols.append((tokens[k].text, "function" if t.text == "function" else "type", t.line, end, is_export))
             if t.text == "function":
                 out.spans.append((t.line, end))
-    words = set(KEYWORDS["javascript"].split())
+    words = set(KEYWORDS["javascript"])
     out.refs = [(t.text, t.line) for k, t in enumerate(tokens) if t.kind == "name" and k not in skip and t.text not in words]
     return out
 
@@ -182,7 +182,7 @@ def parse_java(source: str, keep_static: bool = False) -> Parsed:
     """
     out, tokens = Parsed(), lex(source, "java")
     pairs, skip, n = _partners(tokens), set(), len(tokens)
-    words = set(KEYWORDS["java"].split())
+    words = set(KEYWORDS["java"])
 
     def public(i: int) -> bool:
         k = i - 1

@@ -37,16 +37,30 @@ def lex(source: str, language: str) -> list[Token]:
 
 #: Words that weak normalisation keeps, and those that semantic normalisation folds into $CTRL.
 KEYWORDS = {
-    "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
-    "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield",
-    "javascript": "async await break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new of return static super switch this throw try typeof var void while with yield",
-    "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for if implements import instanceof int interface long native new package private protected public return short static super switch synchronized this throw throws transient try void volatile while",
+    "go": (
+        "break", "case", "chan", "const", "continue", "default", "defer", "else", "fallthrough", "for", "func", "go", "goto", "if", "import", "interface", "map",
+        "package", "range", "return", "select", "struct", "switch", "type", "var",
+    ),
+    "python": (
+        "False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except", "finally", "for", "from",
+        "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try", "while", "with", "yield",
+    ),
+    "javascript": (
+        "async", "await", "break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "export", "extends", "finally", "for",
+        "function", "if", "import", "in", "instanceof", "let", "new", "of", "return", "static", "super", "switch", "this", "throw", "try", "typeof", "var", "void",
+        "while", "with", "yield",
+    ),
+    "java": (
+        "abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class", "const", "continue", "default", "do", "double", "else", "enum", "extends",
+        "final", "finally", "float", "for", "if", "implements", "import", "instanceof", "int", "interface", "long", "native", "new", "package", "private", "protected",
+        "public", "return", "short", "static", "super", "switch", "synchronized", "this", "throw", "throws", "transient", "try", "void", "volatile", "while",
+    ),
 }
 CONTROL = {
-    "go": "if else for switch case default select range break continue return goto fallthrough",
-    "python": "if elif else for while try except finally with break continue return yield raise",
-    "javascript": "if else for while do switch case default break continue return throw try catch finally",
-    "java": "if else for while do switch case default break continue return throw try catch finally",
+    "go": ("if", "else", "for", "switch", "case", "default", "select", "range", "break", "continue", "return", "goto", "fallthrough"),
+    "python": ("if", "elif", "else", "for", "while", "try", "except", "finally", "with", "break", "continue", "return", "yield", "raise"),
+    "javascript": ("if", "else", "for", "while", "do", "switch", "case", "default", "break", "continue", "return", "throw", "try", "catch", "finally"),
+    "java": ("if", "else", "for", "while", "do", "switch", "case", "default", "break", "continue", "return", "throw", "try", "catch", "finally"),
 }
 
 
@@ -58,8 +72,8 @@ def normalise(t: Token, mode: str, language: str) -> str:
     if t.kind in ("string", "number"):
         return "$STR" if t.kind == "string" else "$NUM"
     if t.kind == "name" and mode in ("weak", "semantic"):
-        if mode == "semantic" and t.text in CONTROL.get(family, "").split():
+        if mode == "semantic" and t.text in CONTROL.get(family, ()):
             return "$CTRL"
-        if t.text not in KEYWORDS.get(family, "").split():
+        if t.text not in KEYWORDS.get(family, ()):
             return "$ID"
     return t.text

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,7 +19,10 @@ PARSED = (
     "functions array<struct<name: string, start_line: int, end_line: int, cyclomatic: int, cognitive: int, max_nesting: int>>, "
     "spans array<struct<start_line: int, end_line: int>>, error string"
 )
-PARSERS = {"python": python_source.parse, "go": parse_go, "javascript": parse_script, "typescript": parse_script, "java": parse_java}
+#: Exported declarations of scripts are left out, as dead code must not judge them by names alone.
+PARSERS = {
+    "python": python_source.parse, "go": parse_go, "java": parse_java, "javascript": partial(parse_script, exported=False), "typescript": partial(parse_script, exported=False),
+}
 MARKER = "codeprism:ignore"
 
 

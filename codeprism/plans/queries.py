@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
-from ..operators import clones, diffs, findings as fi, graph, health, line_rules as rules
+from ..operators import clones, diffs, findings as fi, graph, health, line_rules as rules, telemetry
+from . import planted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,8 +43,13 @@ def token_arrays(spark: SparkSession, sf_dir: str, name: str = "documents", id:
 _TOKENS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n\r\t]+'), lambda x: x <> '')"
 _WINDOWS = f"""
 toks AS (SELECT doc_id AS file, {_TOKENS} AS t FROM documents),
-places AS (SELECT file, t, unnest(range(0, len(t) - {WINDOW - 1})) AS pos FROM toks WHERE len(t) >= {WINDOW}),
-windows AS (SELECT file, pos, 'dup:' || substr(sha256(array_to_string(t[pos + 1 : pos + {WINDOW}], chr(0)) || chr(0)), 1, 8) AS fingerprint FROM places)"""
+cut AS (SELECT file, t, unnest(range(0, len(t) - {WINDOW - 1})) AS pos FROM toks WHERE len(t) >= {WINDOW}),
+windows AS (SELECT file, pos, sha256(array_to_string(t[pos + 1 : pos + {WINDOW}], chr(0)) || chr(0)) AS f FROM cut),
+hot AS (SELECT f, count(*) AS n FROM windows GROUP BY f HAVING count(*) > 1),
+near AS (SELECT file, pos, f, n, count(*) OVER (PARTITION BY f, file ORDER BY pos RANGE BETWEEN {WINDOW - 1} PRECEDING AND 1 PRECEDING) AS close,
+  count(*) OVER (PARTITION BY f, file ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND {WINDOW - 1} FOLLOWING) AS later FROM windows JOIN hot USING (f)),
+paired AS (SELECT file, f, pos AS s, pos + {WINDOW - 1} AS e FROM near WHERE n - 1 - close - later > 0),
+counted AS (SELECT f, any_value(n) AS n, count(DISTINCT file) AS files, any_value(n) * (any_value(n) - 1) // 2 - CAST(sum(close) AS BIGINT) AS pairs FROM near GROUP BY f)"""
 
 
 # -- clone detection ---------------------------------------------------------
@@ -51,39 +57,44 @@ windows AS (SELECT file, pos, 'dup:' || substr(sha256(array_to_string(t[pos + 1
 
 @query(f"""
 WITH RECURSIVE {_WINDOWS},
-members AS (SELECT DISTINCT file, fingerprint FROM windows),
-shared AS (SELECT file, fingerprint, min(file) OVER (PARTITION BY fingerprint) AS first, count(*) OVER (PARTITION BY fingerprint) AS files FROM members),
-edges AS (SELECT DISTINCT first AS a, file AS b FROM shared WHERE files > 1 AND file <> first),
+marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM paired),
+blocks AS (SELECT file, f, s, e, file * 1000000 + sum(fresh) OVER (PARTITION BY file ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS block FROM marked),
+edges AS (SELECT DISTINCT first AS a, block AS b FROM (SELECT block, min(block) OVER (PARTITION BY f) AS first FROM blocks) WHERE first <> block),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-walk(node, seen) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT e.b, w.seen FROM walk w JOIN both_ways e ON e.a = w.node)
-SELECT w.file, w.family, s.shared_windows FROM (SELECT node AS file, min(seen) AS family FROM walk GROUP BY node) w
-JOIN (SELECT file, count(DISTINCT fingerprint) AS shared_windows FROM shared WHERE files > 1 GROUP BY file) s USING (file)
+walk(node, seen) AS (SELECT DISTINCT block, block FROM blocks UNION SELECT x.b, w.seen FROM walk w JOIN both_ways x ON x.a = w.node),
+families AS (SELECT node AS block, min(seen) AS family FROM walk GROUP BY node),
+spans AS (SELECT family, file, min(s) AS s, max(e) AS e FROM blocks JOIN families USING (block) GROUP BY family, file, block),
+touching AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY family, file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM spans),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY family, file ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM touching),
+places AS (SELECT family, file::VARCHAR AS file, min(s) AS s, max(e) AS e FROM numbered GROUP BY family, numbered.file, k),
+bytes AS (SELECT *, encode(file || ':') || unhex(substr(printf('%08X', s), 7, 2) || substr(printf('%08X', s), 5, 2) || substr(printf('%08X', s), 3, 2) || substr(printf('%08X', s), 1, 2)) || encode('-')
+  || unhex(substr(printf('%08X', e), 7, 2) || substr(printf('%08X', e), 5, 2) || substr(printf('%08X', e), 3, 2) || substr(printf('%08X', e), 1, 2)) || encode(chr(10)) AS raw FROM places),
+whole AS (SELECT family, count(*) AS occurrences, count(DISTINCT file) AS files, list_reduce(list(raw ORDER BY file, s), lambda x, y: x || y) AS raw FROM bytes GROUP BY family),
+pairs AS (SELECT family, CAST(sum(pairs) AS BIGINT) AS pairs FROM counted JOIN (SELECT DISTINCT f, family FROM blocks JOIN families USING (block)) USING (f) GROUP BY family)
+SELECT 'dup:' || substr(sha256(raw), 1, 8) AS family_id, occurrences, files, pairs FROM whole JOIN pairs USING (family)
 """)
 def clone_families(spark, sf_dir):
-    """Documents joined by shared token windows."""
-    return clones.clone_families(token_arrays(spark, sf_dir), WINDOW)
+    """Families of blocks that share windows, by id."""
+    named = clones.family_ids(clones.clone_families(token_arrays(spark, sf_dir), WINDOW))
+    files = F.size(F.array_distinct(F.transform("occurrences", lambda o: o["file"])))
+    return named.select("family_id", F.size("occurrences").cast("bigint").alias("occurrences"), files.cast("bigint").alias("files"), "pairs")
 
 
-@query(f"WITH {_WINDOWS} SELECT fingerprint, count(*) AS n, count(DISTINCT file) AS files, count(*) * (count(*) - 1) // 2 AS pairs FROM windows GROUP BY fingerprint HAVING count(*) > 1")
+@query(f"WITH {_WINDOWS} SELECT 'dup:' || substr(f, 1, 8) AS fingerprint, n, files, pairs FROM counted WHERE pairs > 0")
 def clone_fingerprints(spark, sf_dir):
-    """Repeated windows and their pairs."""
-    return clones.repeated_windows(clones.token_windows(token_arrays(spark, sf_dir), WINDOW))
+    """Repeated windows and their pairs."""
+    return clones.repeated_windows(token_arrays(spark, sf_dir), WINDOW)
 
 
 @query(f"""
 WITH {_WINDOWS},
-hot AS (SELECT fingerprint FROM windows GROUP BY fingerprint HAVING count(*) > 1),
-spans AS (SELECT file, pos AS "start", pos + {WINDOW - 1} AS "end" FROM windows JOIN hot USING (fingerprint)),
-marked AS (SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY file ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM spans),
-islands AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM marked)
-SELECT file, CAST(min("start") AS BIGINT) AS "start", CAST(max("end") AS BIGINT) AS "end" FROM islands GROUP BY file, island
+marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM paired),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM marked)
+SELECT file, CAST(min(s) AS BIGINT) AS "start", CAST(max(e) AS BIGINT) AS "end" FROM islands GROUP BY file, island
 """)
 def clone_blocks(spark, sf_dir):
-    """Maximal blocks of tokens that occur elsewhere."""
-    windows = clones.token_windows(token_arrays(spark, sf_dir), WINDOW)
-    hot = clones.repeated_windows(windows).select("fingerprint")
-    spans = windows.join(hot, "fingerprint").select("file", F.col("pos").cast("bigint").alias("start"), (F.col("pos") + WINDOW - 1).cast("bigint").alias("end"))
-    return clones.coalesce_ranges(spans, ["file"])
+    """Blocks of tokens that occur elsewhere, whole."""
+    return clones.clone_blocks(token_arrays(spark, sf_dir), WINDOW)
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -93,7 +104,7 @@ def exact_dup_docs(spark, sf_dir):
 
 
 @query(f"""
-WITH {_WINDOWS},
+WITH toks AS (SELECT doc_id AS file, {_TOKENS} AS t FROM documents),
 btoks AS (SELECT item_id, {_TOKENS} AS t FROM benchmark),
 bplaces AS (SELECT item_id, t, unnest(range(0, len(t) - 9)) AS pos FROM btoks WHERE len(t) >= 10),
 dplaces AS (SELECT file, t, unnest(range(0, len(t) - 9)) AS pos FROM toks WHERE len(t) >= 10),
@@ -103,9 +114,9 @@ SELECT file AS doc_id, item_id, count(*) AS windows FROM d JOIN b USING (f) GROU
 """)
 def benchmark_overlap(spark, sf_dir):
     """C2 across corpora: token windows of documents that occur in benchmark items."""
-    docs = clones.token_windows(token_arrays(spark, sf_dir), 10, whole=True).withColumnRenamed("file", "doc_id")
-    items = clones.token_windows(token_arrays(spark, sf_dir, "benchmark", "item_id"), 10, whole=True).select(F.col("file").alias("item_id"), "fingerprint").distinct()
-    return docs.join(items, "fingerprint").groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))
+    docs = clones.token_windows(token_arrays(spark, sf_dir), 10).select(F.col("file").alias("doc_id"), "key")
+    items = clones.token_windows(token_arrays(spark, sf_dir, "benchmark", "item_id"), 10).select(F.col("file").alias("item_id"), "key").distinct()
+    return docs.join(items, "key").groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))
 
 
 # -- lines -------------------------------------------------------------------
@@ -158,19 +169,6 @@ def secret_lines(spark, sf_dir):
     return rules.secrets(doc_lines(spark, sf_dir)).select("doc_id", "line_no", "kind")
 
 
-@query(f"""
-WITH {_LINES} SELECT doc_id, line_no, regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') AS has_mail,
-  regexp_matches(line, '\\b[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}\\b') AS has_ip, regexp_matches(line, '[0-9]{{13,19}}') AS has_digits
-FROM lines WHERE regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}|\\b[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}\\b|[0-9]{{13,19}}')
-""")
-def pii_lines(spark, sf_dir):
-    """SE1-like: mail addresses, IPv4 addresses, long digit runs."""
-    hit = lambda p: F.col("line").rlike(p)
-    mail, ip, digits = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", r"[0-9]{13,19}"
-    found = doc_lines(spark, sf_dir).where(hit(f"{mail}|{ip}|{digits}"))
-    return found.select("doc_id", "line_no", hit(mail).alias("has_mail"), hit(ip).alias("has_ip"), hit(digits).alias("has_digits"))
-
-
 @query(f"""
 WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents),
 d AS (SELECT DISTINCT doc_id, token FROM t WHERE length(token) BETWEEN 16 AND 256 AND NOT regexp_matches(token, '^[a-z]+://|^[./~]|/.*/|%[sdv]|\\{{\\}}|\\s')),
@@ -220,24 +218,24 @@ def apply_deletes(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, turn, role FROM conversations
-WHERE role = 'user' AND regexp_matches(text, '(?i)\\b(the|de|la|der)\\b') AND contains(lower(text), 'in')
+SELECT conv_id, turn, hit > 0 AS hit, max(hit) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) > 0 AS near_hit
+FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) > 120 THEN 1 ELSE 0 END AS hit FROM conversations)
 """)
-def prompt_lines(spark, sf_dir):
-    """LD2: user turns with a combination of keywords."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return turns.where(F.col("text").rlike(r"(?i)\b(the|de|la|der)\b") & F.contains(F.lower("text"), F.lit("in"))).select("conv_id", "turn", "role")
+def context_window_rules(spark, sf_dir):
+    """What stands within two rows of a row."""
+    hit = (F.col("role") == "assistant") & (F.length("text") > 120)
+    turns = table(spark, sf_dir, "conversations")
+    return turns.withColumn("near_hit", rules.near(turns, ["conv_id"], "turn", hit, 2, 2)).select("conv_id", "turn", F.coalesce(hit, F.lit(False)).alias("hit"), "near_hit")
 
 
-@query("""
-SELECT conv_id, turn, hit, max(hit) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near_hit
-FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) > 120 THEN 1 ELSE 0 END AS hit FROM conversations)
+@query(f"""
+WITH {_LINES}, marked AS (SELECT doc_id, line_no, regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') AS has_mail,
+  regexp_matches(line, '\\b[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}\\b') AS has_ip, regexp_matches(line, '[0-9]{{13,19}}') AS has_digits FROM lines)
+SELECT * FROM marked WHERE has_mail OR has_ip OR has_digits
 """)
-def context_window_rules(spark, sf_dir):
-    """W4, LD5, LD6: what stands within two turns."""
-    hit = F.when((F.col("role") == "assistant") & (F.length("text") > 120), 1).otherwise(0)
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", hit.alias("hit"))
-    return turns.withColumn("near_hit", F.max("hit").over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, 2)))
+def pii_lines(spark, sf_dir):
+    """SE1-like: lines with mail addresses, IPv4 addresses or long digit runs."""
+    return rules.personal_data(doc_lines(spark, sf_dir))
 
 
 @query("""SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) GROUP BY page_id, link""")
@@ -277,17 +275,23 @@ WITH {_EVENTS} SELECT split_part(rule_id, ':', 1) AS module_id, count(*) FILTER
 FROM findings GROUP BY 1
 """)
 def severity_pivot(spark, sf_dir):
-    """Counts by module and severity."""
-    by = lambda s: F.count_if(F.col("severity") == s)
-    return event_findings(spark, sf_dir).groupBy(fi.module_of("rule_id").alias("module_id")).agg(by("error").alias("errors"), by("warning").alias("warnings"), by("info").alias("infos"))
+    """Counts by module and severity."""
+    return fi.severity_counts(event_findings(spark, sf_dir), [fi.module_of("rule_id").alias("module_id")])
 
 
 @query(f"WITH {_EVENTS} SELECT event_id, rule_id, severity FROM findings WHERE severity IN ('error', 'warning') AND split_part(rule_id, ':', 1) NOT IN ('m2')")
 def finding_filter(spark, sf_dir):
-    """severity and module filters."""
+    """severity and module filters."""
     return fi.visible(event_findings(spark, sf_dir), ["error", "warning"], ["m2"]).select("event_id", "rule_id", "severity")
 
 
+@query(f"WITH {_EVENTS} SELECT event_id, rule_id FROM findings WHERE rule_id = 'm1:error' UNION ALL SELECT event_id, rule_id FROM findings WHERE split_part(rule_id, ':', 2) = 'signup'")
+def rule_filter(spark, sf_dir):
+    """findings of one rule, with and without its module."""
+    e = event_findings(spark, sf_dir).select("event_id", "rule_id")
+    return fi.by_rule(e, "m1:error").unionByName(fi.by_rule(e, "signup"))
+
+
 _AUDIT = f"WITH {_EVENTS}, cur AS (SELECT * FROM findings WHERE ts >= TIMESTAMP '2024-01-15'), base AS (SELECT * FROM findings WHERE ts < TIMESTAMP '2024-01-15')"
 _SAME = "c.rule_id = b.rule_id AND c.file = b.file AND c.start_line = b.start_line AND c.message = b.message"
 
@@ -319,17 +323,26 @@ def audit_verdict(spark, sf_dir):
     return diffs.audit(*_halves(spark, sf_dir))
 
 
+@query(f"""
+{_AUDIT}, new AS (SELECT 'new-finding' AS rule_id, file, start_line, 'new issue: ' || rule_id || ' in ' || file || ' at line ' || start_line AS message FROM cur c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE {_SAME})),
+n AS (SELECT (SELECT count(*) FROM cur) AS c, (SELECT count(*) FROM base) AS b, (SELECT count(*) FROM new) AS k)
+SELECT * FROM new UNION ALL SELECT 'score-regression', 'baseline.json', 1, 'finding count increased by ' || (c - b) || ' (baseline: ' || b || ', current: ' || c || ')' FROM n WHERE c > b
+UNION ALL SELECT 'threshold-exceeded', 'baseline.json', 1, 'audit verdict: FAIL (' || k || ' relevant findings exceed threshold 5)' FROM n WHERE k >= 5
+""")
+def audit_rows(spark, sf_dir):
+    """AU1: the findings of an audit."""
+    return diffs.audit_findings(*_halves(spark, sf_dir)).select("rule_id", "file", "start_line", "message")
+
+
 @query("""
-WITH a AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-09'),
-b AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16'),
+WITH a AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts < TIMESTAMP '2024-01-15'), b AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'),
 n AS (SELECT (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS new, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS resolved, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS unchanged)
 SELECT new, resolved, unchanged, CASE WHEN new + unchanged > 0 THEN new / (new + unchanged) ELSE 0.0 END AS rate FROM n
 """)
-def churn_days(spark, sf_dir):
-    """Set churn between two days."""
-    e = table(spark, sf_dir, "events")
-    day = lambda d: e.where(f"ts >= timestamp_ntz'2024-01-{d:02}' and ts < timestamp_ntz'2024-01-{d + 1:02}'")
-    return diffs.churn(day(15), day(8), ("event_type", "user_id"))
+def churn_halves(spark, sf_dir):
+    """Set churn between two halves of the events."""
+    now, before = _halves(spark, sf_dir)
+    return diffs.churn(now, before, ("event_type", "user_id"))
 
 
 @query("""
@@ -366,11 +379,22 @@ def metric_last_value(spark, sf_dir):
     return fi.last_values(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", "event_id")
 
 
-@query("SELECT event_type, round(sum(CAST(value AS DECIMAL(18, 2)))::DOUBLE, 2) AS total, count(*) AS points FROM events WHERE regexp_matches(event_type, '^(error|purchase|signup)$') GROUP BY event_type")
+@query("SELECT event_type, round(sum(CAST(value AS DECIMAL(18, 2)))::DOUBLE, 2) AS total, count(*) AS points FROM events WHERE event_type IN ('error', 'purchase', 'signup') GROUP BY event_type")
 def prom_sum_by(spark, sf_dir):
     """A sum by label with a label selector."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type").rlike("^(error|purchase|signup)$"))
-    return e.groupBy("event_type").agg(F.round(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), 2).alias("total"), F.count("*").alias("points"))
+    return telemetry.sum_by(table(spark, sf_dir, "events"), "event_type", "error|purchase|signup")
+
+
+@query("SELECT count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses, count(*) FILTER (event_type = 'view') / count(*) FILTER (event_type IN ('view', 'click')) AS hit_rate FROM events")
+def cache_hit_rate(spark, sf_dir):
+    """A22, ST4: hits over hits and misses."""
+    return telemetry.hit_rate(table(spark, sf_dir, "events"), F.col("event_type") == "view", F.col("event_type") == "click")
+
+
+@query(f"WITH {_EVENTS} SELECT rule_id, count(*) AS n, min(event_id) AS first_seen, dense_rank() OVER (ORDER BY min(event_id)) - 1 AS rule_index FROM findings GROUP BY rule_id")
+def sarif_rule_index(spark, sf_dir):
+    """Distinct rules in the order they were first seen."""
+    return fi.rule_index(event_findings(spark, sf_dir), "event_id")
 
 
 _POINTS = "points AS (SELECT event_id AS seq, event_type || (user_id % 20) AS name, value, CASE WHEN event_id % 997 = 0 THEN 'untrusted' ELSE 'trusted' END AS provenance FROM events)"
@@ -406,28 +430,6 @@ def sampling_rate(spark, sf_dir):
     return fi.sampled(table(spark, sf_dir, "events"), "event_id", 0.25).select("event_id", "event_type")
 
 
-@query("SELECT count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses, count(*) FILTER (event_type = 'view') / count(*) FILTER (event_type IN ('view', 'click')) AS hit_rate FROM events")
-def cache_hit_rate(spark, sf_dir):
-    """Hits over hits and misses."""
-    one = table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "view").alias("hits"), F.count_if(F.col("event_type") == "click").alias("misses"))
-    total = F.col("hits") + F.col("misses")
-    return one.withColumn("hit_rate", F.when(total > 0, F.col("hits") / total).otherwise(F.lit(0.0)))
-
-
-@query(f"WITH {_EVENTS} SELECT rule_id, count(*) AS n, min(event_id) AS first_seen, dense_rank() OVER (ORDER BY min(event_id)) - 1 AS rule_index FROM findings GROUP BY rule_id")
-def sarif_rule_index(spark, sf_dir):
-    """Distinct rules in the order they were first seen."""
-    per = event_findings(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_seen"))
-    # one row per rule: a bounded set, so a global order is fine
-    return per.withColumn("rule_index", (F.dense_rank().over(W.orderBy("first_seen")) - 1).cast("bigint"))
-
-
-@query("SELECT quality, toxic, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN labels USING (doc_id) GROUP BY quality, toxic")
-def labels_join(spark, sf_dir):
-    """Findings joined to a dimension by key."""
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
-
-
 # -- metrics, ranges and edges: order tables ---------------------------------
 
 _METRICS = "metrics AS (SELECT l_orderkey AS file, CAST(l_quantity AS INTEGER) AS cyclomatic, CAST(l_quantity * l_discount * 10 AS INTEGER) AS cognitive, CAST(floor(l_extendedprice / 500) AS INTEGER) AS lines, l_linenumber AS max_nesting, l_linenumber AS start_line FROM lineitem)"
@@ -472,24 +474,18 @@ def complexity_findings(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT l_partkey AS file, count(DISTINCT l_orderkey) AS commits FROM lineitem GROUP BY 1), m AS (SELECT l_partkey AS file, avg(l_quantity) AS avg_cyclomatic FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY 1),
-h AS (SELECT c.file, commits, coalesce(avg_cyclomatic, 1.0) * commits AS s FROM c LEFT JOIN m USING (file))
+WITH c AS (SELECT l_partkey AS file, count(DISTINCT l_orderkey) AS commits FROM lineitem GROUP BY 1), m AS (SELECT l_partkey AS file, avg(l_quantity) AS avg_cyclomatic FROM lineitem GROUP BY 1),
+h AS (SELECT c.file, commits, avg_cyclomatic * commits AS s FROM c JOIN m USING (file))
 SELECT file, commits, round(s, 6) AS hotspot_score, CASE WHEN s >= 50 THEN 'refactoring-target' WHEN s >= 20 THEN 'hotspot' END AS rule_id FROM h
 """)
 def hotspots(spark, sf_dir):
-    """A5, J9, HS1, O1: complexity times commits."""
+    """Complexity times commits."""
     li = table(spark, sf_dir, "lineitem")
     commits = li.groupBy(F.col("l_partkey").alias("file")).agg(F.countDistinct("l_orderkey").alias("commits"))
-    metrics = li.where("l_partkey % 7 <> 0").select(F.col("l_partkey").alias("file"), F.col("l_quantity").alias("cyclomatic"))
+    metrics = li.select(F.col("l_partkey").alias("file"), F.col("l_quantity").alias("cyclomatic"))
     return health.hotspots(commits, metrics).select("file", "commits", F.round("hotspot_score", 6).alias("hotspot_score"), "rule_id")
 
 
-@query("SELECT p_partkey, p_brand, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 200")
-def topk_families(spark, sf_dir):
-    """O2: a top-k report with a tiebreak."""
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(200)
-
-
 _RANGES = "ranges AS (SELECT l_orderkey AS file, l_linenumber * 5 + CAST(l_suppkey % 4 AS INTEGER) AS s, l_linenumber * 5 + CAST(l_suppkey % 4 + l_partkey % 6 AS INTEGER) AS e, l_linenumber FROM lineitem)"
 
 
@@ -553,19 +549,26 @@ def zone_violations(spark, sf_dir):
     return fi.boundary_violations(edges, ZONE_RULES).groupBy("from_zone", "to_zone").agg(F.count("*").alias("n"))
 
 
-_GRAPH = "e AS (SELECT DISTINCT o_custkey % 400 AS a, (o_custkey * 7 + o_orderkey % 3) % 400 AS b FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 4 <> 0)"
+_GRAPH = """
+o AS (SELECT o_custkey AS a, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS b, o_orderdate AS d, o_orderkey AS k, o_orderpriority AS p FROM orders),
+e AS (SELECT DISTINCT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d DESC, k DESC) AS late, row_number() OVER (PARTITION BY a ORDER BY d, k) AS early FROM o)
+  WHERE (late = 1 OR early = 1) AND b IS NOT NULL)"""
 
 
 def _edges(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0 and o_custkey % 4 <> 0")
-    return o.select((F.col("o_custkey") % 400).alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % 400).alias("b")).distinct()
+    """An edge from each customer to whoever orders next on the day of the customer's first order, and of the last."""
+    day = W.partitionBy("o_orderdate").orderBy("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.lead("o_custkey").over(day).alias("b"), "o_orderdate", "o_orderkey")
+    when = F.struct("o_orderdate", "o_orderkey")
+    ends = o.groupBy("a").agg(F.array(F.min_by("b", when), F.max_by("b", when)).alias("b"))
+    return ends.select("a", F.explode("b").alias("b")).where("b is not null").distinct()
 
 
-@query(f"WITH RECURSIVE {_GRAPH}, w(node) AS (SELECT DISTINCT a FROM e WHERE a % 50 = 1 UNION SELECT e.b FROM w JOIN e ON e.a = w.node) SELECT node FROM w")
+@query(f"WITH RECURSIVE {_GRAPH}, w(node) AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT e.b FROM w JOIN e ON e.a = w.node) SELECT node FROM w")
 def reachability(spark, sf_dir):
     """Nodes that entry points reach."""
-    edges = _edges(spark, sf_dir)
-    return graph.reachable(edges, edges.where("a % 50 = 1").select(F.col("a").alias("node"))).select("node")
+    seeds = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("node"))
+    return graph.reachable(_edges(spark, sf_dir), seeds).select("node")
 
 
 @query(f"""
@@ -574,34 +577,10 @@ m AS (SELECT x.src AS node, x.node AS other FROM w x JOIN w y ON x.src = y.node
 SELECT node, min(least(node, other)) AS component FROM m GROUP BY node HAVING count(*) FILTER (other <> node) > 0
 """)
 def cycles_scc(spark, sf_dir):
-    """Strongly connected components."""
+    """Strongly connected components."""
     return graph.strong_components(_edges(spark, sf_dir))
 
 
-@query("SELECT p_partkey, p_name FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p.p_partkey AND l_quantity > 45)")
-def unused_symbols(spark, sf_dir):
-    """Symbols nobody refers to."""
-    used = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").join(used, "p_partkey", "left_anti").select("p_partkey", "p_name")
-
-
-@query("SELECT c_custkey, count(DISTINCT l_suppkey) AS others FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey AND l_suppkey <> c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY c_custkey")
-def referenced_elsewhere(spark, sf_dir):
-    """Referenced from another place than the defining one."""
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    both = table(spark, sf_dir, "customer").select("c_custkey").join(urgent, "c_custkey").join(li, "o_orderkey").where("l_suppkey <> c_custkey")
-    return both.groupBy("c_custkey").agg(F.countDistinct("l_suppkey").alias("others"))
-
-
-@query("SELECT c_nationkey, bool_and(dead) AS all_dead, count(*) AS symbols FROM (SELECT c_nationkey, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS dead FROM customer) GROUP BY c_nationkey")
-def unused_files(spark, sf_dir):
-    """D3: files whose every symbol is dead."""
-    alive = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("alive", F.lit(True))
-    c = table(spark, sf_dir, "customer").join(alive, "c_custkey", "left")
-    return c.groupBy("c_nationkey").agg(F.bool_and(F.col("alive").isNull()).alias("all_dead"), F.count("*").alias("symbols"))
-
-
 _COVERAGE = """
 lcov AS (SELECT l_partkey AS path, l_suppkey AS line, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS hits FROM lineitem GROUP BY 1, 2),
 changed AS (SELECT DISTINCT l_partkey AS path, l_suppkey AS line FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01'),
@@ -666,13 +645,11 @@ WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM
 """)
 def stream_tumbling(spark, sf_dir):
     """ST1, ST2: a stream's closed windows, read to its end and written in append mode."""
-    import tempfile
     import uuid
 
     from ..streaming.streams import windowed_counts
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codeprism-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{graph.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1000)
     # the source lists a folder; the one file of a table is a pattern of one
@@ -681,23 +658,6 @@ def stream_tumbling(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT event_id, user_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
-f(user_id, k, tainted, hits) AS (
-  SELECT user_id, k, event_type = 'click' AND value > 50, 0 FROM e WHERE k = 1
-  UNION ALL SELECT e.user_id, e.k, CASE WHEN e.event_type = 'click' AND e.value > 50 THEN true WHEN e.event_type = 'signup' THEN false ELSE f.tainted END,
-    f.hits + CASE WHEN e.event_type = 'error' AND f.tainted THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
-SELECT user_id, CAST(max(hits) AS BIGINT) AS hits FROM f GROUP BY user_id
-""")
-def taint_fold(spark, sf_dir):
-    """State that rows set, clear and meet in order, by the last row that set or cleared it."""
-    e = table(spark, sf_dir, "events")
-    change = F.when((F.col("event_type") == "click") & (F.col("value") > 50), True).when(F.col("event_type") == "signup", False)
-    before = W.partitionBy("user_id").orderBy("ts").rowsBetween(W.unboundedPreceding, -1)
-    tainted = F.coalesce(F.last(change, True).over(before), F.lit(False))
-    return e.select("user_id", ((F.col("event_type") == "error") & tainted).alias("hit")).groupBy("user_id").agg(F.count_if("hit").alias("hits"))
-
-
 # -- the SQL surface ---------------------------------------------------------
 
 
@@ -745,3 +705,7 @@ def asof_last_purchase(spark, sf_dir):
     w = W.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "purchase", 0).otherwise(1)).rowsBetween(W.unboundedPreceding, 0)
     last = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
     return e.withColumn("purchase_id", last).where("event_type = 'error'").select("event_id", "purchase_id")
+
+
+QUERIES.update(planted.QUERIES)
+ORACLES.update(planted.ORACLES)

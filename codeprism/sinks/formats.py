@@ -59,18 +59,46 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 
 def sarif(findings: DataFrame, tool: str = "codeprism", version: str = "0.1.0") -> str:
-    """A SARIF document of a small frame of findings."""
+    """A SARIF document of a frame of findings that fits the driver; :func:`write_lines` writes any number of results."""
     results = [json.loads(r.result) for r in sarif_results(findings).collect()]
-    rules = list(dict.fromkeys(r["ruleId"] for r in results))
+    rules = {r: k for k, r in enumerate(dict.fromkeys(r["ruleId"] for r in results))}
     for r in results:
-        r["ruleIndex"] = rules.index(r["ruleId"])
+        r["ruleIndex"] = rules[r["ruleId"]]
     run = {"tool": {"driver": {"name": tool, "version": version, "rules": [{"id": x} for x in rules]}}, "results": results}
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2)
 
 
+def terminal(findings: DataFrame) -> DataFrame:
+    """One line a finding: column ``line``."""
+    return findings.select(F.concat("file", F.lit(":"), "start_line", F.lit(":"), "severity", F.lit(" "), "rule_id", F.lit(" "), F.regexp_replace("message", "\n", " ")).alias("line"))
+
+
+def json_lines(findings: DataFrame) -> DataFrame:
+    """One JSON object a finding: column ``json``."""
+    return findings.select(F.to_json(F.struct(*findings.columns)).alias("json"))
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """A format's column as text files, written in parallel."""
+    rows.write.mode("overwrite").text(path)
+
+
+def health_lines(project: DataFrame, files: DataFrame, worst: int = 10) -> DataFrame:
+    """form, text: the project's health (score, total_files, grade), and its worst files (file, score, grade), so many at most."""
+    text = lambda *c: F.concat(*(F.lit(x[1:]) if x.startswith("=") else F.col(x).cast("string") for x in c))
+    head = project.select(F.lit("health").alias("form"), text("=Health: ", "score", "= (", "grade", "=), ", "total_files", "= files").alias("text"))
+    low = files.orderBy("score", "file").limit(worst)
+    return head.unionByName(low.select(F.lit("worst").alias("form"), text("file", "= ", "score", "= ", "grade").alias("text")))
+
+
+def markdown_rows(findings: DataFrame) -> DataFrame:
+    """file, start_line, row: the table rows of a report, so that any number can be written in parallel."""
+    return findings.select("file", "start_line", "rule_id", F.concat(F.lit("| "), "start_line", F.lit(" | "), "severity", F.lit(" | `"), "rule_id", F.lit("` | "), F.replace("message", F.lit("|"), F.lit("&#124;")), F.lit(" |")).alias("row"))
+
+
 def markdown(findings: DataFrame) -> str:
-    """A report grouped by file, in order."""
-    rows = findings.orderBy("file", "start_line", "rule_id").collect()
+    """A report grouped by file, in order, of a frame of findings that fits the driver."""
+    rows = markdown_rows(findings).orderBy("file", "start_line", "rule_id").collect()
     if not rows:
         return "No issues found.\n"
     out, file = [f"## {len(rows)} findings\n"], None
@@ -78,7 +106,7 @@ def markdown(findings: DataFrame) -> str:
         if r.file != file:
             file = r.file
             out.append(f"\n### `{file}`\n\n| Line | Severity | Rule | Message |\n|---|---|---|---|")
-        out.append(f"| {r.start_line} | {r.severity} | `{r.rule_id}` | {r.message.replace('|', '&#124;')} |")
+        out.append(r.row)
     return "\n".join(out) + "\n"
 
 

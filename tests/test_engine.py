@@ -37,21 +37,44 @@ def test_graph(spark):
     assert graph.strong_components(none).count() == graph.connected_components(none).count() == 0
 
 
-def test_chained_cycles(spark):
+@pytest.mark.parametrize("small", [graph.SMALL, 0])
+def test_chained_cycles(spark, monkeypatch, small):
     """Cycles chained by one-way edges: all are found in few rounds, or an error says that rounds ran out."""
+    monkeypatch.setattr(graph, "SMALL", small)
     e = spark.createDataFrame([x for i in range(1, 25, 2) for x in ((i, i + 1), (i + 1, i), (i + 1, i + 2))], "a int, b int")
     assert rows(graph.strong_components(e, 9)) == sorted([(i, i - (i + 1) % 2) for i in range(1, 25)], key=str)
-    with pytest.raises(RuntimeError):
-        graph.strong_components(e, 1)
+    if not small:
+        with pytest.raises(RuntimeError):
+            graph.strong_components(e, 1)
+
+
+def test_long_chain_and_cycle(spark):
+    """5,000 nodes in a circle, and a chain of 5,000 behind it."""
+    n = 5000
+    e = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)] + [(i, i + 1) for i in range(n, 2 * n)] + [(0, n)], "a int, b int")
+    assert rows(graph.strong_components(e).groupBy("component").count()) == [(0, n)]
+    far = graph.reachable(e, spark.createDataFrame([(1,)], "node int"))
+    assert far.count() == 2 * n + 1 and far.where(f"node = {2 * n}").first().depth == 2 * n
+
+
+def test_walks_in_rounds_equal_walks_in_memory(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    e = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(90)], "a int, b int")
+    seeds = spark.createDataFrame([(1,), (2,), (99,)], "node int")
+    memory = rows(graph.reachable(e, seeds)), rows(graph.strong_components(e))
+    monkeypatch.setattr(graph, "SMALL", 0)
+    assert (rows(graph.reachable(e, seeds)), rows(graph.strong_components(e))) == memory and memory[1]
 
 
 def test_clones(spark, files):
     block = "\n".join(f"\tcall{i}(x{i})" for i in range(20))
     toks = T.token_table(files({"a.go": f"package a\n{block}\n", "b.go": f"package b\nvar z = 1\n{block}\n", "c.go": "package c\n"}))
-    assert rows(clones.clone_families(toks, 30), "file", "family") == [("a.go", "a.go"), ("b.go", "a.go")]
+    assert rows(clones.clone_families(toks, 30), "file", "start", "end", "pairs") == [("a.go", 2, 21, 51), ("b.go", 3, 22, 51)]
     assert rows(clones.clone_blocks(toks, 30), "file", "start", "end") == [("a.go", 2, 21), ("b.go", 3, 22)]
-    again = clones.clone_families(toks.repartition(7), 30)  # the same for permuted input
-    assert rows(again) == rows(clones.clone_families(toks, 30))
+    again = clones.family_ids(clones.clone_families(toks.repartition(7), 30))  # the same for permuted input
+    assert rows(again, "family_id", "occurrences") == rows(clones.family_ids(clones.clone_families(toks, 30)), "family_id", "occurrences")
     with pytest.raises(ValueError):
         clones.token_windows(toks, 0)
     renamed = files({"a.go": "package a\nx := foo(1, \"a\")\n", "b.go": "package b\ny := bar(2, \"b\")\n"})
@@ -59,6 +82,48 @@ def test_clones(spark, files):
     assert weak[0] == weak[1] and T.token_table(renamed, "strict").select("toks").distinct().count() == 2
 
 
+def test_clone_families_apart_and_capped(spark, files):
+    """Two blocks that touch one file are two families; a report names so many, and says how many it leaves out."""
+    block = lambda k: "".join(f"\tcall{k}_{i}(x{i})\n" for i in range(20))
+    gap = "".join(f"var only{i} = {i}\n" for i in range(5))
+    tree = files({"a.go": f"package a\n{block(1)}{gap}{block(2)}", "b.go": f"package b\n{block(1)}", "c.go": f"package c\nvar y = 2\n{block(2)}", "d.go": f"{block(2)}"})
+    toks = T.token_table(tree)
+    found = clones.clone_families(toks, 30)
+    named = clones.family_ids(found)
+    assert sorted([(o.file, o.start, o.end) for o in r.occurrences] for r in named.collect()) == [
+        [("a.go", 2, 21), ("b.go", 2, 21)], [("a.go", 27, 46), ("c.go", 3, 22), ("d.go", 1, 20)],
+    ]
+    full = clones.duplication(tree, 30)
+    assert sorted(r.rule_id for r in full.collect()) == ["duplicate-block", "duplicate-function"]
+    assert clones.duplication(tree, 30, max_families=1).count() == 1 and clones.clone_counters(found, 1).first().truncated_families == 1
+    longest = clones.longest_matches(toks, 30).groupBy("file").agg(F.max("length").alias("n"))
+    assert rows(longest) == [("a.go", 80), ("b.go", 80), ("c.go", 80), ("d.go", 80)]
+
+
+def test_clone_pairs_equal_brute_force(spark):
+    """Pairs, families and longest matches of short random texts against all pairs of places."""
+    import random
+
+    rng = random.Random(7)
+    n, texts = 4, {i: [rng.choice("abc") for _ in range(rng.randrange(0, 40))] for i in range(6)}
+    toks = spark.createDataFrame(list(texts.items()), "file bigint, toks array<string>")
+    places = [(f, p) for f, t in texts.items() for p in range(len(t) - n + 1)]
+    pairs = [(x, y) for k, x in enumerate(places) for y in places[k + 1 :] if texts[x[0]][x[1] : x[1] + n] == texts[y[0]][y[1] : y[1] + n] and (x[0] != y[0] or abs(x[1] - y[1]) >= n)]
+
+    def length(x, y):
+        k = 0
+        while x[1] + k < len(texts[x[0]]) and y[1] + k < len(texts[y[0]]) and texts[x[0]][x[1] + k] == texts[y[0]][y[1] + k]:
+            k += 1
+        return k
+
+    assert clones.repeated_windows(toks, n).agg(F.sum("pairs")).first()[0] == len(pairs)
+    covered = {(f, p + k) for x in pairs for f, p in x for k in range(n)}
+    blocks = {(r.file, k) for r in clones.clone_blocks(toks, n).collect() for k in range(r.start, r.end + 1)}
+    assert blocks == covered
+    assert clones.longest_matches(toks, n).agg(F.max("length")).first()[0] == max(length(x, y) for x, y in pairs)
+    assert clones.clone_families(toks, n).select("family", "pairs").distinct().agg(F.sum("pairs")).first()[0] == len(pairs)
+
+
 def test_health(spark):
     m = spark.createDataFrame([("a", 30, 10, 50, 2, 1), ("a", 20, 40, 190, 6, 5), ("b", 1, 0, 3, 0, 1)], "file string, cyclomatic int, cognitive int, lines int, max_nesting int, start_line int")
     f = health.file_health(m)
