@@ -32,8 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder; see :func:`purge`."""
-    return f"{shared_dir(spark)}/codeprism-{spark.sparkContext.applicationId}"
+    """This application's part of the shared folder; it is deleted when the driver ends, or by :func:`purge`."""
+    path = f"{shared_dir(spark)}/codeprism-{spark.sparkContext.applicationId}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -69,7 +72,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

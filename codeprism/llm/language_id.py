@@ -12,16 +12,18 @@ like learned ones. :func:`fit_home` sets the bounds from learning documents.
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import fresh_dir, open_fs, staged, table
 
 #: At most about this many documents of a language are learned from (a hash of the id picks them).
 FIT_DOCS = 2_000
@@ -57,9 +59,9 @@ class LanguageModel:
     matrix: np.ndarray
     #: How often the word of each row was counted, by language.
     seen: np.ndarray
-    #: By language, as fit_home sets them: what a word at home scores at least, and the share of such words.
-    spelt: np.ndarray | None = None
-    home: np.ndarray | None = None
+    #: By language: what a word at home scores at least, and, as fit_home sets it, the share of such words.
+    spelt: np.ndarray
+    home: dict[str, float] | None = None
 
     @classmethod
     def build(cls, counts: pd.DataFrame) -> "LanguageModel":
@@ -82,7 +84,14 @@ class LanguageModel:
                 seen[first + which, who] = c
             (grams if n else words).update(zip(names, range(first, first + len(names))))
             blocks.append(block + (ORDERS.index(n) * BACKOFF if n else 0.0))
-        return cls(langs, words, grams, np.concatenate(blocks), seen)
+        model = cls(langs, words, grams, np.concatenate(blocks), seen, np.full(len(langs), -np.inf))
+        names, rows = list(words), np.fromiter(words.values(), int, len(words))
+        for k in range(len(langs)):
+            own = np.flatnonzero(seen[rows, k])
+            if len(own):
+                own = own[:: max(1, len(own) // SPELT_WORDS)]
+                model.spelt[k] = np.quantile([model.matrix[model.backoff(names[i]), k].mean() for i in own], ODD_WORDS)
+        return model
 
     def backoff(self, word: str) -> list[int]:
         """Rows for an unseen word: at each place the longest gram known there."""
@@ -101,7 +110,7 @@ class LanguageModel:
         return self._told(words_of(text))[:2]
 
     def judged(self, text: str | None, learned: bool = False) -> tuple[str, float, float]:
-        """(language, probability, share of words at home); needs ``spelt``.
+        """(language, probability, share of words at home).
 
         ``learned``: the text was learned from, so that its words count as
         known only where other texts have them too.
@@ -124,7 +133,7 @@ class LanguageModel:
     def at_home(self, text: str | None) -> bool:
         """Whether the text is in a learned language: told, likelier than not, and with enough words at home."""
         lang, score, share = self.judged(text)
-        return lang != UND and score >= 0.5 and share >= self.home[self.langs.index(lang)]
+        return lang != UND and score >= 0.5 and share >= self.home.get(lang, 0.0)
 
     def _told(self, words: list[str]) -> tuple[str, float, list[int], np.ndarray | None]:
         """Language, probability, each word's row (-1: unseen) and the unseen words' scores."""
@@ -147,6 +156,31 @@ class LanguageModel:
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum()), places, fits
 
 
+class Stored:
+    """A model in the shared folder, loaded where it is first asked something and once in a worker's task.
+
+    The driver holds its path and, once :func:`fit_home` set them, its bounds.
+    """
+
+    def __init__(self, path: str | None, home: dict[str, float] | None = None):
+        self.path, self.home, self.held = path, home, None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "home": self.home, "held": None}
+
+    def model(self) -> LanguageModel:
+        if self.held is None and self.path is None:  # nothing was learned
+            self.held = LanguageModel.build(pd.DataFrame({"lang": [], "n": [], "gram": [], "c": []}))
+        if self.held is None:
+            fs, path = open_fs(self.path)
+            with fs.open_input_stream(path, compression=None) as f:
+                self.held = LanguageModel(*pickle.loads(f.read()), home=self.home)
+        return self.held
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.model().predict(text)
+
+
 def _learning(docs: DataFrame, learn: Column, text: str, lang: str, id: str, fit_docs: int) -> DataFrame | None:
     """id, text, lang of the documents learned from; None if there is none."""
     rows = docs.where(F.col(lang).isNotNull() & learn).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -157,17 +191,19 @@ def _learning(docs: DataFrame, learn: Column, text: str, lang: str, id: str, fit
     return rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < shares[F.col("lang")])
 
 
-def fit_languages(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", id: str = "doc_id", fit_docs: int = FIT_DOCS) -> LanguageModel:
+def fit_languages(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", id: str = "doc_id", fit_docs: int = FIT_DOCS) -> Stored:
     """Learn from rows with a language for which ``learn`` holds.
 
     A language with more than ``fit_docs`` documents is thinned by a hash of
-    the id. Counts are made and summed on the workers; all of them, bounded by
-    the sample, come to the driver. Rows whose language is null take no part; if
-    there is none, every prediction is ``und``.
+    the id. Counts are made and summed on the workers; one task makes the model
+    of all of them, bounded by the sample, and writes it into the shared folder.
+    Rows whose language is null take no part; if there is none, every prediction
+    is ``und``.
     """
     rows = _learning(docs, learn, text, lang, id, fit_docs)
     if rows is None:
-        return LanguageModel.build(pd.DataFrame({"lang": [], "n": [], "gram": [], "c": []}))
+        return Stored(None)
+    folder = fresh_dir(docs.sparkSession, "languages")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,12 +217,26 @@ def fit_languages(docs: DataFrame, learn: Column, text: str = "text", lang: str
                             grams[n, marked[i : i + n]] += c
                 yield pd.DataFrame([(code, 0, w, c) for w, c in words.items()] + [(code, n, g, c) for (n, g), c in grams.items()], columns=["lang", "n", "gram", "c"])
 
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [x for x in batches if len(x)]
+        if not held:
+            return
+        model = LanguageModel.build(pd.concat(held, ignore_index=True).sort_values(["lang", "n", "gram"]))
+        fs, base = open_fs(folder)
+        fs.create_dir(base, recursive=True)
+        name = f"{uuid.uuid4().hex}.model"
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+            # plain data: the class itself may not be installed where it is read
+            f.write(pickle.dumps((model.langs, model.words, model.grams, model.matrix, model.seen, model.spelt)))
+        yield pd.DataFrame({"path": [f"{folder}/{name}"]})
+
     counts = rows.select("lang", "text").mapInPandas(count, "lang string, n int, gram string, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    return LanguageModel.build(counts.toPandas().sort_values(["lang", "n", "gram"]))
+    made = staged(counts.repartition(1).mapInPandas(build, "path string"), "language-model").first()
+    return Stored(made and made["path"])
 
 
-def fit_home(model: LanguageModel, docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", id: str = "doc_id", fit_docs: int = FIT_DOCS) -> LanguageModel:
-    """The model with its bounds for words and texts at home, from the rows that :func:`fit_languages` learned from.
+def fit_home(model: Stored, docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", id: str = "doc_id", fit_docs: int = FIT_DOCS) -> Stored:
+    """The model with its bounds for texts at home, from the rows that :func:`fit_languages` learned from.
 
     A learning document is judged without its own counts, so that new texts
     of a language fare no worse. One number a document comes to the driver.
@@ -194,40 +244,38 @@ def fit_home(model: LanguageModel, docs: DataFrame, learn: Column, text: str = "
     rows = _learning(docs, learn, text, lang, id, fit_docs)
     if rows is None:
         return model
-    spelt = np.full(len(model.langs), -np.inf)
-    names, at = list(model.words), np.fromiter(model.words.values(), int, len(model.words))
-    for k in range(len(model.langs)):
-        own = np.flatnonzero(model.seen[at, k])
-        if len(own):
-            own = own[:: max(1, len(own) // SPELT_WORDS)]
-            spelt[k] = np.quantile([model.matrix[model.backoff(names[i]), k].mean() for i in own], ODD_WORDS)
-    model = replace(model, spelt=spelt)
 
     @F.pandas_udf("double")
-    def share(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.judged(t, learned=True)[2] if words_of(t) else None for t in texts], dtype="float64")
+    def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = model.model()
+        for texts in batches:
+            yield pd.Series([own.judged(t, learned=True)[2] if words_of(t) else None for t in texts], dtype="float64")
 
     shares = rows.select("lang", share.asNondeterministic()("text").alias("share")).where("share is not null").toPandas().groupby("lang")["share"]
     lows = shares.quantile(LOW_DOCS)
-    return replace(model, home=np.array([HOME * lows.get(x, 0.0) for x in model.langs]))
+    return Stored(model.path, {lang: HOME * low for lang, low in lows.items()})
 
 
-def at_home(text: Column, model: LanguageModel) -> Column:
+def at_home(text: Column, model: Stored) -> Column:
     """Whether each text is in a language of the model; false for all if nothing was learned."""
 
     @F.pandas_udf("boolean")
-    def judge(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.at_home(t) for t in texts], dtype=bool)
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = model.model()
+        for texts in batches:
+            yield pd.Series([own.at_home(t) for t in texts], dtype=bool)
 
     return judge.asNondeterministic()(text)
 
 
-def language_of(text: Column, model: LanguageModel) -> Column:
+def language_of(text: Column, model: Stored) -> Column:
     """struct<lang_pred, score> of each text."""
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = model.model()
+        for texts in batches:
+            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     return predict.asNondeterministic()(text)
 

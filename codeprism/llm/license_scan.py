@@ -24,16 +24,28 @@ K = 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that count wherever their words stand consecutively: (phrase, label).
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Wordings of the method's own, matched with errors: (text, label).
+#: Wordings of the method's own, matched with errors: (text, label). Sentences that versions of a license share have a label without one.
 TEMPLATES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit"),
     ("released under the mit license", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
     ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2"),
     ("licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under the gnu general public license version 3", "gpl-3"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2"),
+    ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "unlicense"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
 )

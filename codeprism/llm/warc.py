@@ -283,7 +283,8 @@ def read_archives(manifest: DataFrame, read_bytes: int = READ_BYTES) -> DataFram
 
 def archive_pages(df: DataFrame, folder: str | None = None, id: str = "page_id", url: str = "url", payload: str = "html", keep_monolithic: bool = False) -> DataFrame:
     """Write, normalise and index the rows of ``df``; returns the manifest of the
-    normalised archives. An empty table has an empty manifest."""
+    normalised archives. An empty table has an empty manifest. Without ``folder``
+    they lie in this application's part of the shared folder and go with it."""
     folder = folder or fresh_dir(df.sparkSession, "warc")
     mono = write_monolithic(plan_records(df, id, url, payload), f"{folder}/monolithic")
     out = normalise(mono, f"{folder}/normalised")

@@ -183,8 +183,61 @@ def test_hot_classes_give_the_same(spark, monkeypatch):
 
 
 def test_prefix_is_shortened():
-    d = N.prefix_length()
-    assert 1 - (1 - 0.8**d) ** N.TREES >= N.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** N.TREES
+    """The least depth has the recall whatever the data; the estimate says when a greater one will do."""
+    d = N.least_depth()
+    assert 1 < d < N.MAX_DEPTH and N.found_share(N.THRESHOLD, d) >= N.RECALL > N.found_share(N.THRESHOLD, d + 1)
+    close, far = np.zeros(101), np.zeros(101)
+    close[97], far[80] = 1000, 1000
+    assert N.estimated_recall(close, N.MAX_DEPTH) > N.RECALL > N.estimated_recall(far, N.MAX_DEPTH) and N.estimated_recall(np.zeros(101), d) == 0
+    assert all(N.estimated_recall(far, k) <= N.estimated_recall(far, k - 1) for k in range(N.MAX_DEPTH, d, -1))
+
+
+def test_each_pair_meets_once():
+    """Over all depths and tries, each pair that shares a prefix of the least depth is given by one run, the deepest and there the first."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 16, (6, N.TREES * N.MAX_DEPTH)).astype(np.uint16)
+    sigs = base[rng.integers(0, 6, 90)]
+    sigs = np.where(rng.random(sigs.shape) < rng.choice([0, 0.05, 0.3], 90)[:, None], rng.integers(0, 1 << 16, sigs.shape), sigs).astype(np.uint16)
+    labels, lowest = sigs.reshape(90, N.TREES, N.MAX_DEPTH), N.least_depth()
+    seen, meets = [], set()
+    for depth in range(N.MAX_DEPTH, lowest - 1, -1):
+        for tree in range(N.TREES):
+            runs = {}
+            for k in range(90):
+                runs.setdefault(labels[k, tree, :depth].tobytes(), []).append(k)
+            for run in map(np.array, runs.values()):
+                if len(run) > 1:
+                    i, j = N.first_meetings(sigs[run], np.zeros(len(run), int), tree, depth, 0)
+                    seen += [tuple(sorted(x)) for x in zip(run[i].tolist(), run[j].tolist())]
+                    # dealt into two chunks, pairs across and within make the same
+                    side = np.arange(len(run)) % 2
+                    across = N.first_meetings(sigs[run], side, tree, depth, 0)
+                    parts = [N.first_meetings(sigs[run[side == c]], np.zeros((side == c).sum(), int), tree, depth, 0) for c in (0, 1)]
+                    assert len(i) == len(across[0]) + sum(len(x[0]) for x in parts)
+                    meets |= {tuple(sorted((a, b))) for a in run.tolist() for b in run.tolist() if a < b}
+    assert len(seen) == len(set(seen)) and set(seen) == meets and len(meets) > 300
+
+
+def test_hot_prefix(spark, monkeypatch):
+    """A prefix that many unlike classes share, in chunks of a few: all links are there, and no block is larger than two chunks."""
+    monkeypatch.setattr(N, "CHUNK", 10)
+    common = [f"c{i}" for i in range(300)]
+    rows = [(k, " ".join(common + [f"own{k}x{i}" for i in range(3)])) for k in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = N.near_copy_classes(docs).collect()
+    assert {(r.class_id, r.n_links) for r in out} == {(0, 69)} and [r.doc_id for r in out if r.kept] == [0]
+    classes = N.class_rows(docs, "doc_id", "text").withColumn("node", F.col("id"))
+    blocks = N.level_blocks(N.tries_of(classes, N.least_depth()), N.MAX_DEPTH).groupBy("block").count()
+    assert blocks.agg(F.max("count")).first()[0] <= 60
+
+
+def test_copies_are_dropped_by_row(spark):
+    """A row with the id of a dropped copy but a text of its own stays; of repeated rows one does."""
+    a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + "z"), (2, b), (3, c), (3, c), (4, None), (4, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r.doc_id, r.text) for r in N.drop_near_copies(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (3, c), (4, None), (4, None), (None, a)], key=str)
 
 
 # -- URLs --------------------------------------------------------------------
