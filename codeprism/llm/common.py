@@ -125,6 +125,23 @@ def runs_of(batches: Iterator[pd.DataFrame], key: str) -> Iterator[dict[str, np.
 
 #: Rounds of contraction that go by id before the order is drawn by a hash.
 BY_ID = 6
+#: Edges that one task joins in memory (sixteen bytes each).
+SMALL_EDGES = 1_000_000
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """node and r, the smallest node of its component, of a small graph in one task."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [x for x in batches if len(x)]
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            nodes, at = np.unique(np.concatenate([rows.a, rows.b]), return_inverse=True)
+            roots = Roots(len(nodes))
+            roots.join(at[: len(rows)], at[len(rows) :])
+            yield pd.DataFrame({"node": nodes, "r": nodes[roots.root]})
+
+    return staged(edges.coalesce(1).mapInPandas(join, "node bigint, r bigint"), "hook")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -140,14 +157,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     go by id, which folds shallow trees and stars at once; later ones by an
     order that a hash draws anew, so that a third of the nodes goes each round
     in expectation whatever the graph, long chains included. The rename joins
-    are plain sort-merge joins that adaptive execution may split.
+    are plain sort-merge joins that adaptive execution may split. What is left,
+    once counted to have ``SMALL_EDGES`` edges at most, is joined in one task.
     """
     spark = edges.sparkSession
     live = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
     live = staged(live.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps: list[DataFrame] = []
     for k in range(max_rounds):
-        if live.isEmpty():
+        left = live.count()
+        if left <= SMALL_EDGES:
+            if left:
+                maps.append(_joined(live))
             break
         draw = lambda c: F.struct((F.lit(0) if k < BY_ID else F.xxhash64(F.lit(k), F.col(c))).alias("h"), F.col(c).alias("v"))
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -187,7 +208,7 @@ class Roots:
             new = a != b
             i, j, a, b = i[new], j[new], a[new], b[new]
             np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
-            while (up := self.root[self.root]).tolist() != self.root.tolist():
+            while not np.array_equal(up := self.root[self.root], self.root):
                 self.root = up
 
     def parents(self, fan: int = 8) -> np.ndarray:

@@ -23,7 +23,10 @@ def components(ids, links):
     return label
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("small", [common.SMALL_EDGES, 0])
+def test_connected_components(spark, monkeypatch, small):
+    """In one task, and in rounds of contraction."""
+    monkeypatch.setattr(common, "SMALL_EDGES", small)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2000), (None, 1), (5, 5)]
     out = common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"))
