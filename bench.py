@@ -12,7 +12,7 @@ from codeprism.session import local_session
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
-    "clone_families", "clone_fingerprints", "clone_blocks", "benchmark_overlap", "line_counts", "secret_lines", "high_entropy_tokens", "findings_groupings", "audit_new", "churn_days",
+    "clone_families", "clone_fingerprints", "clone_blocks", "benchmark_overlap", "line_counts", "secret_lines", "high_entropy_tokens", "findings_groupings", "audit_new", "churn_halves",
     "file_health", "hotspots", "range_coalesce", "edit_conflicts", "vulnerable_deps", "reachability", "cycles_scc", "changed_coverage", "window_session", "pricing_summary", "cube_orders", "asof_last_purchase",
 )
 

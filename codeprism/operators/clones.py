@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from ..functions.scalars import window_digest, window_fingerprint
+from ..functions.scalars import window_fingerprint
 from .graph import connected_components, kept
 
 #: How sure a match is in each normalisation.
@@ -82,10 +82,17 @@ def repeated_windows(tokens: DataFrame, n: int) -> DataFrame:
     return each.select(window_fingerprint(F.slice("toks", F.col("x.pos") + 1, n)).alias("fingerprint"), "x.n", "x.files", "x.pairs")
 
 
-def window_digests(tokens: DataFrame, n: int) -> DataFrame:
-    """file, pos, fingerprint (the whole SHA-256) of each window, for joins across corpora that show it."""
-    places = F.when(F.size("toks") >= n, F.sequence(F.lit(0), F.size("toks") - n))
-    return tokens.select("file", "toks", F.explode(places).alias("pos")).select("file", "pos", window_digest(F.slice("toks", F.col("pos") + 1, n)).alias("fingerprint"))
+#: Distinct windows of a corpus that are broadcast to find them in another; more are joined by a shuffle.
+BROADCAST_WINDOWS = 1_000_000
+
+
+def shared_windows(tokens: DataFrame, others: DataFrame, n: int) -> DataFrame:
+    """file, other, windows: how many places of a file hold a window of another corpus' text (its distinct windows count)."""
+    places = token_windows(tokens, n).select("file", "key")
+    wanted = token_windows(others, n).select(F.col("file").alias("other"), "key").distinct()
+    if wanted.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        wanted = F.broadcast(wanted)
+    return places.join(wanted, "key").groupBy("file", "other").agg(F.count("*").alias("windows"))
 
 
 def coalesce_ranges(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 1) -> DataFrame:

@@ -20,6 +20,11 @@ def fixable(findings: DataFrame, rule: str | None = None) -> DataFrame:
     return out if rule is None else by_rule(out, rule)
 
 
+def with_fixes(findings: DataFrame) -> DataFrame:
+    """Findings of which an action can be applied by itself."""
+    return findings.where(F.exists("actions", lambda a: a["auto_fixable"]))
+
+
 def refused(findings: DataFrame) -> DataFrame:
     """module_id, n: findings of modules that refuse to fix theirs."""
     return findings.where(F.col("module_id").isin(*(m for m, p in POLICY.items() if p == "refuse"))).groupBy("module_id").agg(F.count("*").alias("n"))

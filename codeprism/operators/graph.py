@@ -32,14 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
+    """A checkpoint in the shared folder, which goes with the application."""
     sc = df.sparkSession.sparkContext
     folder = shared_dir(df.sparkSession)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
+    dropped_at_exit(df.sparkSession, sc.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
+def dropped_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the store delete a folder of this application's own when the driver ends."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def _numbered(edges: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Nodes, and for each the targets of its edges: (names, starts, targets, sources) with numbers for nodes."""
     codes, names = pd.factorize(pd.concat([edges.a, edges.b], ignore_index=True))
@@ -86,6 +94,25 @@ def _walk(edges: DataFrame, seeds: DataFrame, type: str) -> DataFrame:
     return _in_one_task(both, solve, f"node {type}, depth int")
 
 
+def _joined(edges: DataFrame, type: str) -> DataFrame:
+    """:func:`connected_components` in memory: node and r, the smallest node of its component."""
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        codes, names = pd.factorize(pd.concat([rows.a, rows.b], ignore_index=True), sort=True)
+        i, j, root = codes[: len(rows)], codes[len(rows) :], np.arange(len(names))
+        while len(i):
+            a, b = root[i], root[j]
+            new = a != b
+            i, j, a, b = i[new], j[new], a[new], b[new]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := root[root], root):
+                root = up
+        names = np.asarray(names, dtype=object)
+        return pd.DataFrame({"node": pd.Series(names, dtype=object), "r": pd.Series(names[root], dtype=object)})
+
+    return _in_one_task(edges, solve, f"node {type}, r {type}")
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Nodes that ``seeds`` (column node) reach over ``edges`` (a -> b), themselves included; with their depth.
 
@@ -117,12 +144,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Each round every node takes the first of its closed neighbourhood, by id in
     the first rounds and in an order that a hash draws anew later, and the
     graph is contracted to these nodes: stars fold at once, and a third of the
-    nodes goes each round in expectation, long chains included.
+    nodes goes each round in expectation, long chains included. What is left,
+    once small, is joined in one task.
     """
     live = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps = []
     for k in range(max_rounds):
-        if live.isEmpty():
+        left = live.count()
+        if left <= SMALL:
+            if left:
+                maps.append(_joined(live, live.schema["a"].dataType.simpleString()))
             break
         draw = lambda c: F.struct((F.lit(0) if k < BY_ID else F.xxhash64(F.lit(k), F.col(c))).alias("h"), F.col(c).alias("v"))
         both = live.union(live.select("b", "a"))

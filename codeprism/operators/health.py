@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import grade
 
@@ -33,6 +35,18 @@ def project_health(files: DataFrame) -> DataFrame:
     return one.withColumn("grade", grade("score"))
 
 
+def commit_counts(spark: SparkSession, config: dict[str, str]) -> DataFrame:
+    """file, commits from settings: ``commit-counts``, an object of JSON, or else an entry ``commits:<file>`` each; what is no whole number is left out."""
+    try:
+        found = json.loads(config["commit-counts"])
+        rows = [(k, v) for k, v in found.items() if isinstance(v, int) and v >= 0]
+        if len(rows) < len(found):
+            raise ValueError
+    except (KeyError, ValueError, AttributeError):
+        rows = [(k.removeprefix("commits:"), int(v)) for k, v in config.items() if k.startswith("commits:") and v.isdigit()]
+    return spark.createDataFrame(rows, "file string, commits long")
+
+
 def hotspots(commits: DataFrame, metrics: DataFrame, warn: float = 20, refactor: float = 50) -> DataFrame:
     """Average cyclomatic complexity (1 where unknown) times commits; files without commits are left out."""
     avg = metrics.groupBy("file").agg(F.avg("cyclomatic").alias("avg_cyclomatic"))

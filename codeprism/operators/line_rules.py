@@ -37,6 +37,12 @@ def numbered_lines(files: DataFrame, key: str = "path", text: str = "content") -
     return files.select(F.col(key), F.posexplode(text_lines(text)).alias("at", "line")).select(key, (F.col("at") + 1).alias("line_no"), "line")
 
 
+def line_counts(lines: DataFrame, key: str = "path") -> DataFrame:
+    """key, total_lines, code_lines: all lines, and those neither blank nor comments."""
+    code = (F.trim("line") != "") & ~F.col("line").rlike(r"^\s*(//|#)")
+    return lines.groupBy(key).agg(F.count("*").alias("total_lines"), F.count_if(code).alias("code_lines"))
+
+
 def secret_kind(line: str | Column) -> Column:
     """The first credential kind that a line holds, null if none."""
     c = F.col(line) if isinstance(line, str) else line

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 DEFINITIONS = "name string, kind string, description string, unit string"
@@ -19,6 +21,69 @@ CORE = (
 )
 
 
+#: Audiences, and backends with the other names that they go by.
+AUDIENCES = ("on", "off", "user-only", "operator-only")
+BACKENDS = {
+    "json-file": ("json", "file"), "stderr": ("log",), "prometheus": ("prom",), "otlp": ("otel", "opentelemetry"), "statsd": (), "cloudwatch": ("cw",),
+}
+STRATEGIES = ("rate", "on-change")
+
+
+def _one_of(what: str, value: str, names: dict[str, tuple[str, ...]]) -> str:
+    low = value.lower().replace("_", "-")
+    for name, others in names.items():
+        if low == name or low in others:
+            return name
+    raise ValueError(f"unknown {what} {value!r}: one of {', '.join(names)}")
+
+
+def settings(config: dict[str, str], flag_audience: str | None = None) -> dict[str, object]:
+    """audience, backend, sampling_rate and sampling_strategy of a run: a flag goes before the configuration, that before the defaults.
+
+    What is there but can't be understood is an error, in either spelling of its
+    key; of two spellings the one with a dash counts. Rates are brought into 0 to 1.
+    """
+    plain = {a: () for a in AUDIENCES}
+    own = _one_of("audience", config["audience"], plain) if "audience" in config else None
+    flag = _one_of("audience", flag_audience, plain) if flag_audience is not None else None
+    rate, strategy = 1.0, "rate"
+    for key in ("sampling_rate", "sampling-rate"):
+        if key in config:
+            rate = float(config[key])
+            if not math.isfinite(rate):
+                raise ValueError(f"{key} must be a number from 0 to 1")
+            rate = min(max(rate, 0.0), 1.0)
+    for key in ("sampling_strategy", "sampling-strategy"):
+        if key in config:
+            strategy = _one_of("sampling strategy", config[key], {x: () for x in STRATEGIES})
+    backend = _one_of("backend", config["backend"], BACKENDS) if "backend" in config else "json-file"
+    return {"audience": flag or own or "user-only", "backend": backend, "sampling_rate": rate, "sampling_strategy": strategy}
+
+
+def record(store: DataFrame, points: DataFrame, trusted: bool = False) -> DataFrame:
+    """A store of points (seq, name, value, labels, provenance) with more points after it; those of extensions are untrusted."""
+    last = F.coalesce(store.agg(F.max("seq")).first()[0] + F.lit(0), F.lit(0)) if not store.isEmpty() else F.lit(0)
+    more = points.withColumn("seq", last + F.monotonically_increasing_id() + 1).withColumn("provenance", F.lit("trusted" if trusted else "untrusted"))
+    return store.unionByName(more.select(*store.columns))
+
+
+#: Panels of a dashboard: title and query over exposed metrics, narrowed by the variables module and severity.
+PANELS = (
+    ("Health score", "health_score"), ("Findings by module", 'sum by (module_id) (analysis_findings_total{module_id=~"$module"})'),
+    ("Findings by severity", 'sum by (severity) (analysis_findings_by_severity{module_id=~"$module",severity=~"$severity"})'), ("Call duration by module", 'avg by (module_id) (module_call_duration_ms{module_id=~"$module"})'),
+    ("Errors by module", 'sum by (module_id) (module_error_total{module_id=~"$module"})'), ("Churn rate", "findings_churn_rate"), ("Startup", "startup_total_duration_ms"),
+)
+
+
+def dashboard(spark: SparkSession, modules: DataFrame) -> DataFrame:
+    """ord, title, query of a dashboard's panels: the fixed ones, then one for the findings of each module (module_id)."""
+    fixed = spark.createDataFrame([(k, *p) for k, p in enumerate(PANELS)], "ord int, title string, query string")
+    each = modules.select("module_id").distinct()
+    order = F.row_number().over(W.orderBy("module_id")) + len(PANELS) - 1  # a row a module
+    query = F.concat(F.lit('analysis_findings_total{module_id="'), "module_id", F.lit('"}'))
+    return fixed.unionByName(each.select(order.cast("int").alias("ord"), F.concat(F.lit("Findings of "), "module_id").alias("title"), query.alias("query")))
+
+
 def definitions(spark: SparkSession) -> DataFrame:
     """The core metrics: name, kind, description, unit."""
     return spark.createDataFrame(list(CORE), DEFINITIONS)

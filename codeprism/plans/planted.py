@@ -8,16 +8,18 @@ lists the rows that the rules call for.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import registry, schema
 from ..functions.scalars import language_of
-from ..operators import ai_quality, cicd, clones, deadcode, diffs, findings as fi, fixes, frameworks, health, line_rules, prompt_safety, snapshots, taint, telemetry
+from ..operators import ai_quality, cicd, clones, deadcode, diffs, findings as fi, fixes, frameworks, graph, health, line_rules, prompt_safety, snapshots, taint, telemetry
 from ..parse import tables as T
 from ..sinks import formats
-from ..sources import manifests
+from ..sources import discovery, foreign, manifests, state
+from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -540,6 +542,12 @@ def fix_refused(spark):
     return fixes.refused(_planned(spark))
 
 
+@planted("finding", [(1,), (2,), (3,), (5,)])
+def fix_candidates(spark):
+    """findings with an action that can be applied."""
+    return fixes.with_fixes(_planned(spark))
+
+
 @planted("path content", [("f", "1\n2\n3\n4\nsix\n7\n")])
 def fix_files(spark):
     """FX4, O5, K3: edits applied from the bottom up."""
@@ -626,6 +634,36 @@ def configuration(spark):
     return spark.createDataFrame([(s, k, str(v)) for s, part in found.items() for k, v in part.items()], "section string, key string, value string")
 
 
+@planted("tool section key value", [
+    ("knip", "project", "entry", '["a.ts"]'), ("knip", "project", "ignore", '["gen/**", "left-pad"]'), ("knip", "rules", "unused-function", '"error"'), ("knip", "rules", "unused-import", '"error"'),
+    ("knip", "rules", "unused-file", '"warn"'), ("jscpd", "duplication", "min-tokens", "70"), ("jscpd", "duplication", "mode", '"mild"'), ("golangci", "project", "ignore", '["vendor/**"]'),
+    ("golangci", "rules", "high-cyclomatic", '"error"'), ("golangci", "health", "max-cyclomatic", "12"), ("golangci", "framework", "go", "[]"), ("RUFF", "rules", "unused-import", '"error"'),
+    ("RUFF", "rules", "unused-function", '"warn"'), ("RUFF", "health", "max-cyclomatic", "9"), ("RUFF", "framework", "python", "[]"), ("importlinter", "arch", "zone.web", '"web/**"'),
+    ("importlinter", "arch", "zone.core", '"core/**"'), ("importlinter", "arch", "allow.web.core", '""'), ("importlinter", "arch", "deny.core.web", '""'), ("importlinter", "framework", "python", "[]"),
+])
+def foreign_settings(spark):
+    """Settings from the configuration of five other tools."""
+    files = {
+        "package.json": '{"knip": {"entry": ["a.ts"], "ignore": ["gen/**"], "ignoreDependencies": ["left-pad"], "vite": {}}}', ".jscpd.json": '{"minLines": 5, "minTokens": 70, "threshold": 1}',
+        ".golangci.yml": "run:\n  skip-dirs:\n    - vendor\nlinters:\n  enable:\n    - gocyclo\n    - lll\nlinters-settings:\n  gocyclo:\n    min-complexity: 12\n",
+        "pyproject.toml": '[tool.ruff]\nline-length = 99\n[tool.ruff.lint]\nselect = ["E", "F401"]\n[tool.ruff.lint.mccabe]\nmax-complexity = 9\n',
+        ".importlinter": "[importlinter]\nroot_package = app\n[importlinter:contract:1]\ntype = layers\nlayers =\n    web\n    core\n[importlinter:contract:2]\ntype = forbidden\nsource_modules = core\nforbidden_modules = web\n",
+    }
+    out = None
+    for tool in ("knip", "jscpd", "golangci", "RUFF", "importlinter"):
+        part = foreign.settings_table(spark, foreign.import_settings(tool, files)[0]).withColumn("tool", F.lit(tool))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@planted("path", [("src/a.go",), ("docs/x.md",)])
+def ignore_files(spark):
+    """Patterns of ignore files; comments and blank lines are none, a folder's pattern holds what is in it."""
+    patterns = discovery.ignore_patterns({".gitignore": "# made\n\ngen/**\n*.tmp\n", ".codeprismignore": "  docs/private/**  \n"}, ["src/old/**"])
+    paths = ["src/a.go", "gen/b.go", "gen", "x.tmp", "docs/private/y.md", "docs/x.md", "src/old/c.go"]
+    return discovery.not_ignored(spark.createDataFrame([(p,) for p in paths], "path string"), patterns)
+
+
 @planted("case_name ok", [("valid", True), ("too high", False), ("no group", False), ("not toml", False)])
 def coverage_policies(spark):
     """PO1: a policy that can't be used is refused."""
@@ -869,7 +907,146 @@ def sampling_decisions(spark):
     return spark.createDataFrame([(*r, telemetry.should_sample(r[0], r[1], 1, 1 if r[2] else 2)) for r in rows], "strategy string, rate double, same boolean, emit boolean")
 
 
+@planted("case_name audience backend rate strategy", [
+    ("none", "user-only", "json-file", 1.0, "rate"), ("file", "operator-only", "otlp", 0.25, "on-change"), ("flag", "off", "otlp", 0.25, "on-change"), ("clamped", "on", "prometheus", 1.0, "rate"),
+    ("bare name", None, None, None, None), ("not a number", None, None, None, None), ("not finite", None, None, None, None), ("bad second spelling", None, None, None, None), ("unknown backend", None, None, None, None),
+])
+def telemetry_settings(spark):
+    """TE5: flags before files before defaults; what can't be understood is refused."""
+    file = {"audience": "Operator_Only", "backend": "otel", "sampling-rate": "0.25", "sampling_strategy": "on_change"}
+    cases = {
+        "none": ({}, None), "file": (file, None), "flag": (file, "off"), "clamped": ({"audience": "on", "backend": "prom", "sampling_rate": "7"}, None), "bare name": ({"audience": "operator"}, None),
+        "not a number": ({"sampling-rate": "much"}, None), "not finite": ({"sampling-rate": "nan"}, None), "bad second spelling": ({"sampling_rate": "x", "sampling-rate": "1"}, None), "unknown backend": ({"backend": "otlpz"}, None),
+    }
+
+    def row(config: dict, flag: str | None) -> tuple:
+        try:
+            s = telemetry.settings(config, flag)
+        except ValueError:
+            return (None,) * 4
+        return s["audience"], s["backend"], s["sampling_rate"], s["sampling_strategy"]
+
+    return spark.createDataFrame([(k, *row(*v)) for k, v in cases.items()], "case_name string, audience string, backend string, rate double, strategy string")
+
+
+@planted("name provenance value last", [("a.b", "trusted", 1.0, False), ("a.b", "trusted", 2.5, False), ("c", "trusted", 3.0, False), ("module.arch.cycles", "untrusted", 7.0, False), ("module.arch.cycles", "trusted", 8.0, False), ("x", "untrusted", 9.0, True)])
+def recorded_untrusted(spark):
+    """TE1: points of extensions come after the store's own, untrusted."""
+    store = _points(spark).select("seq", "name", "value", "labels", "provenance")
+    more = spark.createDataFrame([("x", 9.0, {})], "name string, value double, labels map<string,string>")
+    return telemetry.record(store, more).withColumn("last", F.col("seq") > 5)
+
+
+@planted("title n", [("fixed", 7), ("Findings of arch", 1), ("Findings of cicd", 1)])
+def dashboard_panels(spark):
+    """TE8: the fixed panels and one for each module."""
+    panels = telemetry.dashboard(spark, spark.createDataFrame([("cicd",), ("arch",), ("arch",)], "module_id string"))
+    return panels.groupBy(F.when(F.col("title").startswith("Findings of "), F.col("title")).otherwise("fixed").alias("title")).agg(F.count("*").alias("n"))
+
+
+@planted("case_name file commits", [("json", "a", 3), ("json", "b", 4), ("entries", "c", 5), ("broken json", "d", 6)])
+def commit_settings(spark):
+    """Commits by file from settings."""
+    cases = {"json": {"commit-counts": '{"a": 3, "b": 4}', "commits:z": "9"}, "entries": {"commits:c": "5", "commits:e": "x", "other": "1"}, "broken json": {"commit-counts": "{", "commits:d": "6"}}
+    out = None
+    for name, config in cases.items():
+        part = health.commit_counts(spark, config).withColumn("case_name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @planted("rule_id message", [("backend-status", "backend otlp: enabled"), ("metric-summary", "metric a.b: 2 points"), ("metric-summary", "metric c: 1 points"), ("metric-summary", "metric module.arch.cycles: 2 points")])
 def telemetry_report(spark):
     """TE6, F15: findings of the telemetry module, as operators see them."""
     return telemetry.telemetry_findings(spark, spark.createDataFrame([("otlp", True)], "name string, enabled boolean"), _points(spark), "operator-only")
+
+
+# -- files, state and streams in the shared folder ---------------------------
+
+
+def folder(spark: SparkSession) -> str:
+    return f"{graph.shared_dir(spark)}/planted-{uuid.uuid4().hex}"
+
+
+def written(spark: SparkSession, files: dict[str, bytes]) -> str:
+    """A folder with these files."""
+    from pyarrow import fs
+
+    root = folder(spark)
+    store, base = fs.FileSystem.from_uri("file://" + root.removeprefix("file:").removeprefix("//") if root.startswith("file:") else root if "://" in root else f"file://{root}")
+    for name, content in files.items():
+        store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(f"{base}/{name}", compression=None) as f:
+            f.write(content)
+    return root
+
+
+SCANNED = {
+    "a.go": b"package a", "sub/b.py": b"x = 1\xff\n", "node_modules/c.js": b"x", "d.txt": b"no", ".env": b"A=1", "requirements.txt": b"flask==1.0\n", "Dockerfile": b"FROM x", "gen/e.go": b"package e",
+    "pkg/__init__.py": b"", ".github/workflows/a.yml": b"on: push", ".gitignore": b"# made\ngen/**\n",
+}
+
+
+@planted("path language content", [("a.go", "go", "package a"), ("pkg/__init__.py", "python", ""), ("sub/b.py", "python", "x = 1\ufffd\n")])
+def scan_sources(spark):
+    """Sources of a tree; skipped and ignored folders aside, what isn't UTF-8 replaced."""
+    return discovery.source_files(spark, written(spark, SCANNED))
+
+
+@planted("path", [(".env",), (".github/workflows/a.yml",), ("a.go",), ("gen/e.go",), ("pkg/__init__.py",), ("requirements.txt",), ("sub/b.py",)])
+def scan_security(spark):
+    """What the security scan reads, each path once."""
+    return discovery.security_files(spark, written(spark, SCANNED))
+
+
+@planted("path", [(".github/workflows/a.yml",)])
+def scan_configuration(spark):
+    """Pipeline configuration; ignored parts of paths aside."""
+    return discovery.cicd_files(spark, written(spark, SCANNED), ["ocker"])
+
+
+@planted("rule_id file start_line", [("r", "f", 3)])
+def read_findings(spark):
+    """Findings from JSON files; a file that doesn't parse is left out."""
+    root = written(spark, {"a.json": b'[{"rule_id": "r", "file": "f", "start_line": 3}]', "b.json": b"[{"})
+    return manifests.read_json_findings(spark, f"{root}/*.json", "rule_id string, file string, start_line int")
+
+
+@planted("kind name value", [("baseline", "r:f:3", None), ("snapshot", "rule:r", 1.0), ("event", "export", None), ("event", "delete", None), ("mine", "export", None)])
+def state_round_trip(spark):
+    """Baseline, snapshot and event log, written and read back; a log by user."""
+    root = folder(spark)
+    found = spark.createDataFrame([("r", "f", 3, "m")], "rule_id string, file string, start_line int, message string")
+    state.save_baseline(found, f"{root}/baseline")
+    base = state.load_baseline(spark, f"{root}/baseline")
+    assert state.load_baseline(spark, f"{root}/none").count() == 0
+    state.save(snapshots.snapshot(found, "a", 1), f"{root}/snapshots")
+    kept = state.load(spark, f"{root}/snapshots", state.SNAPSHOT).where("name = 'rule:r'")
+    state.append_event(spark, f"{root}/log", event="export", timestamp_ms=1, user="ann")
+    state.append_event(spark, f"{root}/log", event="delete", timestamp_ms=2, user="bob")
+    none = F.lit(None).cast("double")
+    out = base.select(F.lit("baseline").alias("kind"), F.concat_ws(":", "rule_id", "file", "start_line").alias("name"), none.alias("value"))
+    out = out.unionByName(kept.select(F.lit("snapshot").alias("kind"), "name", "value"))
+    for kind, log in (("event", state.read_events(spark, f"{root}/log")), ("mine", state.read_events(spark, f"{root}/log", "ann"))):
+        out = out.unionByName(log.select(F.lit(kind).alias("kind"), F.col("event").alias("name"), none.alias("value")))
+    return out
+
+
+@planted("rule_id file", [("unused-import", "b.py")])
+def watched_changes(spark):
+    """ST1: findings of the latest content of files that a stream brings."""
+    root = folder(spark)
+    columns = "path string, content string, language string, changed_at long"
+    spark.createDataFrame([("a.py", "import os\n", "python", 1), ("a.py", "x = 1\n", "python", 2), ("b.py", "import re\n", "python", 1)], columns).coalesce(1).write.parquet(f"{root}/changes")
+    streams.watch(spark.readStream.schema(columns).parquet(f"{root}/changes"), deadcode.dead_code, f"{root}/found", f"{root}/log").awaitTermination()
+    return spark.read.parquet(f"{root}/found")
+
+
+@planted("batch_id change start_line", [(0, "new", 1), (0, "new", 2), (1, "new", 3), (1, "resolved", 1)])
+def streamed_churn(spark):
+    """ST3: what comes and goes from batch to batch."""
+    root, columns = folder(spark), "rule_id string, file string, start_line int"
+    for batch in ([("r", "f", 1), ("r", "f", 2)], [("r", "f", 2), ("r", "f", 3)]):
+        spark.createDataFrame(batch, columns).coalesce(1).write.mode("append").parquet(f"{root}/prints")
+        streams.churn_by_batch(spark.readStream.schema(columns).parquet(f"{root}/prints"), f"{root}/state", f"{root}/churn", f"{root}/log").awaitTermination()
+    return spark.read.parquet(f"{root}/churn")

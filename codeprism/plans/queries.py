@@ -114,9 +114,8 @@ SELECT file AS doc_id, item_id, count(*) AS windows FROM d JOIN b USING (f) GROU
 """)
 def benchmark_overlap(spark, sf_dir):
     """C2 across corpora: token windows of documents that occur in benchmark items."""
-    docs = clones.token_windows(token_arrays(spark, sf_dir), 10).select(F.col("file").alias("doc_id"), "key")
-    items = clones.token_windows(token_arrays(spark, sf_dir, "benchmark", "item_id"), 10).select(F.col("file").alias("item_id"), "key").distinct()
-    return docs.join(items, "key").groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))
+    items = token_arrays(spark, sf_dir, "benchmark", "item_id")
+    return clones.shared_windows(token_arrays(spark, sf_dir), items, 10).withColumnsRenamed({"file": "doc_id", "other": "item_id"})
 
 
 # -- lines -------------------------------------------------------------------
@@ -134,8 +133,7 @@ def doc_lines(spark, sf_dir):
 @query(f"WITH {_LINES} SELECT doc_id, count(*) AS total_lines, count(*) FILTER (trim(line) <> '' AND NOT regexp_matches(line, '^\\s*(//|#)')) AS code_lines FROM lines GROUP BY doc_id")
 def line_counts(spark, sf_dir):
     """All lines, and those neither blank nor comments."""
-    code = (F.trim("line") != "") & ~F.col("line").rlike(r"^\s*(//|#)")
-    return doc_lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("total_lines"), F.count_if(code).alias("code_lines"))
+    return rules.line_counts(doc_lines(spark, sf_dir), "doc_id")
 
 
 @query("""

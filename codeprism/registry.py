@@ -167,10 +167,14 @@ def _arch(inputs: Inputs) -> DataFrame:
 
 
 def _hotspot(inputs: Inputs) -> DataFrame | None:
-    if inputs.commits is None:
+    s = inputs.settings("hotspot")
+    commits = inputs.commits
+    if commits is None and any(k == "commit-counts" or k.startswith("commits:") for k in s):
+        commits = health.commit_counts(inputs.spark, s)
+    if commits is None:
         return None
-    s, metrics = inputs.settings("hotspot"), T.function_metrics(inputs.parsed)
-    return health.hotspot_findings(health.hotspots(inputs.commits, metrics, float(s.get("hotspot-threshold", 20)), float(s.get("refactoring-threshold", 50))))
+    metrics = T.function_metrics(inputs.parsed)
+    return health.hotspot_findings(health.hotspots(commits, metrics, float(s.get("hotspot-threshold", 20)), float(s.get("refactoring-threshold", 50))))
 
 
 def _audit(inputs: Inputs) -> DataFrame | None:

@@ -91,15 +91,40 @@ def text(content: str = "content"):
     return F.make_valid_utf8(F.col(content).cast("string"))
 
 
+#: Files at a tree's root that name paths to ignore.
+IGNORE_FILES = (".gitignore", ".codeprismignore")
+
+
+def ignore_patterns(files: dict[str, str], configured: list[str] = ()) -> list[str]:
+    """Patterns of the configuration, then of the ignore files (name -> text): a line each, without comments and blank lines."""
+    lines = [x for name in IGNORE_FILES for x in files.get(name, "").split("\n")]
+    return [*configured, *(x.strip() for x in lines if x.strip() and not x.startswith("#"))]
+
+
+def load_ignore_patterns(root: str, configured: list[str] = ()) -> list[str]:
+    """:func:`ignore_patterns` of the files under ``root``, on any store; a missing file has none."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
+    found = {}
+    for name in IGNORE_FILES:
+        path = f"{base.rstrip('/')}/{name}"
+        if store.get_file_info(path).type == fs.FileType.File:
+            found[name] = store.open_input_stream(path).read().decode("utf-8", "replace")
+    return ignore_patterns(found, configured)
+
+
 def not_ignored(files: DataFrame, patterns: list[str]) -> DataFrame:
-    """Paths that no pattern fits, as a glob or as a folder before them. Patterns go to the matcher as they are."""
+    """Paths that no pattern fits, as a glob or as a folder before them; a pattern that ends in ``/**`` fits what stands before it too."""
     for p in patterns:
-        files = files.where(~F.col("path").rlike(glob_regex(p)) & ~F.col("path").rlike(glob_regex(p.rstrip("/") + "/**")))
+        fits = F.col("path").rlike(glob_regex(p)) | F.col("path").rlike(glob_regex(p.rstrip("/") + "/**"))
+        files = files.where(~fits & (F.col("path") != p.removesuffix("/**") if p.endswith("/**") else F.lit(True)))
     return files
 
 
 def source_files(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
-    """path, content, language of files in known languages."""
+    """path, content, language of files in known languages that neither ``ignore`` nor the tree's ignore files name."""
+    ignore = load_ignore_patterns(root, list(ignore))
     found = tree(spark, root, _SOURCES).withColumn("language", language_of("path")).where("language is not null")
     return not_ignored(found, list(ignore)).select("path", text().alias("content"), "language")
 

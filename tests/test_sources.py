@@ -4,7 +4,7 @@ import pytest
 
 from codeprism.operators import diffs
 from codeprism.operators.line_rules import numbered_lines
-from codeprism.sources import discovery as D, manifests as M
+from codeprism.sources import discovery as D, foreign, manifests as M
 
 
 @pytest.fixture
@@ -29,6 +29,21 @@ def test_scans(spark, root):
     assert paths(D.cicd_files(spark, root)) == [".github/workflows/a.yml", "Dockerfile"] and paths(D.cicd_files(spark, root, ["ocker"])) == [".github/workflows/a.yml"]
 
 
+def test_ignore_files(spark, root, tmp_path):
+    (tmp_path / ".gitignore").write_text("# gone\n\nsub/**\n")
+    (tmp_path / ".codeprismignore").write_text("a.go\n")
+    assert paths(D.source_files(spark, root, ["gen"])) == ["pkg/__init__.py"]
+
+
+def test_foreign_configuration():
+    with pytest.raises(ValueError):
+        foreign.tool_named("eslint")
+    for tool, files in (("knip", {}), ("knip", {"knip.json": "{"}), ("ruff", {"ruff.toml": "["}), ("golangci-lint", {".golangci.yml": "a: ["}), ("import-linter", {".importlinter": "x"})):
+        with pytest.raises(ValueError):
+            foreign.import_settings(tool, files)
+    assert foreign.import_settings("jscpd", {".jscpd.json": '{"minLines": 5, "reporters": []}'}) == ({"project": {}, "duplication": {"min-tokens": 50, "mode": "mild"}}, ["minLines: taken as 50 tokens", "reporters: no counterpart"])
+
+
 def test_manifests(files):
     tree = files({
         "requirements.txt": "Flask==2.0.0\nrequests[x]==2.31.0 ; y\nPy_YAML==5.4\nz>=1\n", "go.mod": "module x\nrequire golang.org/x/net v0.20.0\nrequire (\n\tgithub.com/gin-gonic/gin v1.9.1\n)\n",
