@@ -19,7 +19,6 @@ that a cell's mean size is bounded. Windows and counts then work within cells.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from math import ceil, erf, log, sqrt
 
 import numpy as np
@@ -40,7 +39,6 @@ BLOCK = 4096
 TILE = 512
 
 
-@lru_cache
 def same_cell(dim: int, directions: int, threshold: float) -> float:
     """The probability that a pair at the threshold reaches furthest in the same
     of ``directions`` random directions, on the same side; drawn with a fixed

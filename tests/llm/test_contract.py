@@ -162,3 +162,15 @@ def test_tokenizers_give_the_same_ids():
         "  ​﻿" * 500, "🙂👩‍👩‍👧" * 1_000, "", " ", "".join(chr(c) for c in rng.integers(32, 0x3000, 20_000)),
     ]
     assert quick(cases) == [x.ids for x in own.encode_batch(cases, add_special_tokens=False)]
+
+
+def test_nothing_travels_by_name():
+    """What goes to the workers is whole: no function or class of the operators is named by its module, which may not be installed there."""
+    from pyspark import cloudpickle
+
+    from codeprism.llm import chat_format, common, decontaminate, embedding_dedup, near_copies, quality, warc
+
+    for module in (chat_format, common, decontaminate, embedding_dedup, near_copies, quality, warc, L, P):
+        own = [x for x in vars(module).values() if getattr(x, "__module__", None) == module.__name__]
+        assert own and all(type(x).__name__ in ("function", "type") for x in own)
+        assert all(len(cloudpickle.dumps(x)) > 200 for x in own)
