@@ -267,6 +267,19 @@ def test_url_rules_equal_brute_force(spark):
     assert {r.verdict for r in U.url_filter(df, rules.limit(0), keep=["page_id"]).collect()} == {"allow"}
 
 
+def test_url_query_has_the_rules_of_the_contract(spark, tmp_path):
+    """Verdicts by the contract's own list (not by RULES), each rule alone and under a longer one."""
+    contract = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    urls = [
+        "http://a.com/en/1", "http://example.com/en/1", "http://b.example.com/en/7", "http://a.net/de/8", "http://net/de/", "http://example.net/de/7", "http://b.example.net/de/81", "http://example.net/en/8",
+        "http://x.org/es/1", "http://x.org/de/1", None,
+    ]
+    spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = U.op9_url_filter(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out) == [(i, *brute_url(u, contract)) for i, u in enumerate(urls)]
+    assert {r.rule: r.verdict for r in out if r.rule} == {h + p: a for a, h, p in contract}
+
+
 # -- WARC --------------------------------------------------------------------
 
 
